@@ -55,13 +55,13 @@ ORACLE = {
     + """,
 lost AS (SELECT node, up FROM edges WHERE node NOT IN (SELECT node FROM walk)),
 reach AS (
-  SELECT node, up AS at FROM lost
+  SELECT node, up AS spot FROM lost
   UNION
-  SELECT r.node, l.up FROM reach r JOIN lost l ON l.node = r.at),
-ring AS (SELECT node FROM reach WHERE node = at)
+  SELECT r.node, l.up FROM reach r JOIN lost l ON l.node = r.spot),
+ring AS (SELECT node FROM reach WHERE node = spot)
 SELECT w.node AS message_id, w.root AS root_id, CAST(w.depth AS INTEGER) AS depth FROM walk w WHERE w.node IN (SELECT node FROM edges)
 UNION ALL
-SELECT node, min(at), -1 FROM reach WHERE at IN (SELECT node FROM ring) GROUP BY node
+SELECT node, min(spot), -1 FROM reach WHERE spot IN (SELECT node FROM ring) GROUP BY node
 """,
     "p5_paths": _CURRENT
     + """
