@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import langid
+from parlance.llm import chunking, conversations, langid, mixing, packing, spans, tokens
 from parlance.llm.sentences import blank
 from parlance.operators.versions import current_rows
+from parlance.session import written
 from parlance.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +20,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def language_model(spark: SparkSession, folder: str) -> langid.Model:
     """Fitted on lang_samples, a table of fixed size (at most langid.SAMPLES rows), and on at most langid.NOISY labelled messages."""
     rows = table(spark, folder, "lang_samples").orderBy("sample_id").select("text", "want").limit(langid.SAMPLES + 1).collect()
-    m = table(spark, folder, "messages").where("length(original_content) > 20").join(code_bases(spark, folder).where("base IS NOT NULL"), F.col("source_lang") == F.col("code"))
-    noisy = m.select("original_content", "base", F.xxhash64("id", "updated_at").alias("h")).orderBy("h", "original_content").limit(langid.NOISY).collect()
-    return langid.widened([(r["text"], r["want"]) for r in rows], [(r["original_content"], r["base"]) for r in noisy])
+    h = F.xxhash64("id", "updated_at", "source_lang")
+    m = table(spark, folder, "messages").where("length(original_content) > 20").join(code_bases(spark, folder).where("base IS NOT NULL"), F.col("source_lang") == F.col("code")).withColumn("h", h)
+    drawn = m.groupBy(F.pmod("h", F.lit(langid.NOISY)).alias("slot")).agg(F.min("h").alias("h")).select("h")
+    noisy = m.join(F.broadcast(drawn), "h").groupBy("h").agg(F.min("original_content").alias("text"), F.min("base").alias("base")).orderBy("h").collect()
+    return langid.widened([(r["text"], r["want"]) for r in rows], [(r["text"], r["base"]) for r in noisy])
 
 
 def code_bases(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,4 +47,79 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return wanted.select(F.col("id").alias("message_id"), F.inline("segments")).select("message_id", "seg_no", "lang")
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found}
+LIMIT, OVERLAP = 2_500, 100
+
+
+def long_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, text) of the current messages that are too long for one piece."""
+    long = F.length(F.regexp_replace("original_content", "^[ \\t\\n]+|[ \\t\\n]+$", "")) > LIMIT
+    return current_rows(table(spark, folder, "messages"), {"text": F.col("original_content")}, keep=long)
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every oversized current message."""
+    return chunking.split(long_messages(spark, folder), "text", ["id"], LIMIT, OVERLAP).withColumnRenamed("id", "message_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = chunking.split(long_messages(spark, folder), "text", ["id"], LIMIT, OVERLAP, with_text=False)
+    return found.where("piece_no = 0").select(F.col("id").alias("message_id"), "boundary")
+
+
+def conversation_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Current messages without their texts: id, session_id, role, display_order, created_at, usable."""
+    said = F.when(conversations.role_of(F.col("role")) == "assistant", ~blank(F.col("translated_content"))).otherwise(~blank(F.col("original_content")))
+    return current_rows(table(spark, folder, "messages"), {c: F.col(c) for c in ("session_id", "role", "display_order", "created_at")} | {"usable": said})
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    kept = conversations.conversations(conversation_rows(spark, folder), "session_id", "id", "role", ["display_order", "created_at"], "usable")
+    return kept.select("session_id", "turn_no", F.col("id").alias("message_id"), "role")
+
+
+def p3_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns by session and part, parted at gaps of inactivity longer than the calibrated one."""
+    rows = conversation_rows(spark, folder).select("session_id", "id", "created_at")
+    seconds = conversations.calibrated_gap(conversations.gap_histogram(rows, "session_id", "id", ["created_at"], "created_at"))
+    split = conversations.split_at_gaps(rows, "session_id", "id", ["created_at"], "created_at", seconds)
+    return split.select("session_id", "id", F.col("part").cast("int").alias("part"), F.lit(seconds).alias("gap_seconds"))
+
+
+def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return written(tokens.token_counts(table(spark, folder, "documents"), "text", ["doc_id", "source"]), "tokens")
+
+
+def packed_documents(spark: SparkSession, folder: str) -> list[tuple[str, int, DataFrame]]:
+    """(box, capacity, packing) of each row of pack_sizes, a table of fixed size."""
+    sizes = document_tokens(spark, folder)
+    boxes = table(spark, folder, "pack_sizes").where("capacity > 0").orderBy("capacity", "box").limit(100).collect()
+    return [(r["box"], r["capacity"], packing.pack(sizes.select("doc_id", "tokens"), "doc_id", "tokens", r["capacity"])) for r in boxes]
+
+
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Box of every part of every document, for each capacity."""
+    done = [p.select(F.lit(box).alias("box_size"), "doc_id", "part", F.col("size").alias("tokens"), F.col("box").alias("box_no")) for box, _, p in packed_documents(spark, folder)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the boxes of each capacity are."""
+    done = [packing.fill(p, capacity).select(F.lit(box).alias("box_size"), F.lit(capacity).alias("capacity"), "boxes", "tokens", "fullest", "filled") for box, capacity, p in packed_documents(spark, folder)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn, with their copies."""
+    return mixing.mix(document_tokens(spark, folder), "doc_id", "source", "tokens", table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached, by source."""
+    return mixing.shares(p8_mix(spark, folder), "source", "tokens", table(spark, folder, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text", 200).withColumnRenamed("shared", "shared_chars")
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_gaps": p3_gaps, "p4_found": p4_found, "p4_segments": p4_segments, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
