@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chunking, conversations, langid, mixing, packing, spans, tokens
-from parlance.llm.sentences import blank
+from parlance.llm import align, chunking, conversations, langid, mixing, packing, spans, tokens
+from parlance.llm.refusals import Refusals
+from parlance.llm.sentences import blank, sentences
 from parlance.operators.versions import current_rows
 from parlance.session import written
 from parlance.sources.tables import table
@@ -47,6 +48,33 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return wanted.select(F.col("id").alias("message_id"), F.inline("segments")).select("message_id", "seg_no", "lang")
 
 
+def ordinary_sentences(spark: SparkSession, folder: str) -> list[str]:
+    """Sentences of lang_samples, a table of fixed size."""
+    rows = table(spark, folder, "lang_samples").orderBy("sample_id").select("text").limit(langid.SAMPLES).collect()
+    return [x for r in rows for x in sentences(r["text"])]
+
+
+def translated_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, mode, src, tgt) of the current messages that hold both texts."""
+    both = ~blank(F.col("original_content")) & ~blank(F.col("translated_content"))
+    rows = current_rows(table(spark, folder, "messages"), {"mode": F.col("display_mode"), "src": F.col("original_content"), "tgt": F.col("translated_content")}, keep=both)
+    return written(rows, "translated")
+
+
+def glossary_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, target, target_lang) of every variant of every entry."""
+    entries = table(spark, folder, "glossary_entries").select(F.col("id").alias("entry_id"), "target", F.col("target_lang").alias("code"))
+    variants = table(spark, folder, "glossary_variants").select("entry_id", "source")
+    return variants.join(entries, "entry_id").join(code_bases(spark, folder), "code").select("source", "target", F.col("base").alias("target_lang"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows, model = translated_messages(spark, folder), language_model(spark, folder)
+    lexicon = align.lexicon(rows, "src", "tgt", model, glossary_terms(spark, folder))
+    bilingual = rows.where("mode = 'bilingual'")
+    return align.aligned(bilingual, "id", "src", "tgt", model, lexicon, Refusals(ordinary_sentences(spark, folder))).withColumnRenamed("id", "message_id")
+
+
 LIMIT, OVERLAP = 2_500, 100
 
 
@@ -122,4 +150,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text", 200).withColumnRenamed("shared", "shared_chars")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_gaps": p3_gaps, "p4_found": p4_found, "p4_segments": p4_segments, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_gaps": p3_gaps, "p4_found": p4_found, "p4_segments": p4_segments, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
