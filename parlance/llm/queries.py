@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import align, chunking, conversations, langid, mixing, packing, spans, tokens
+from parlance.llm import align, chunking, conversations, defects, langid, mixing, packing, spans, tokens
 from parlance.llm.refusals import Refusals
 from parlance.llm.sentences import blank, sentences
+from parlance.operators.ranking import positions
 from parlance.operators.versions import current_rows
 from parlance.session import written
 from parlance.sources.tables import table
@@ -113,6 +114,42 @@ def p3_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return split.select("session_id", "id", F.col("part").cast("int").alias("part"), F.lit(seconds).alias("gap_seconds"))
 
 
+def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, prompt, reply, target) of the assistant rows with a prompt; target is the base code of target_lang.
+
+    Turn numbers are found on narrow rows, so that a session of any size is spread over many tasks; the text of a turn
+    before then joins by (session, turn number), which doesn't repeat. Rows that hold their own prompt join nothing.
+    """
+    m = table(spark, folder, "messages")
+    role = conversations.role_of(F.col("role"))
+    cur = written(current_rows(m, {c: F.col(c) for c in ("session_id", "display_order", "created_at", "target_lang")} | {"role": role, "src": F.when(~blank(F.col("original_content")), F.col("original_content")), "tgt": F.when(role == "assistant", F.col("translated_content"))}), "current")
+    turns = cur.where("NOT (role <=> 'system')")
+    assistants = turns.where("role = 'assistant'").join(code_bases(spark, folder), F.col("target_lang") == F.col("code"), "left")
+    own = assistants.where("src IS NOT NULL").select("id", F.col("src").alias("prompt"), F.col("tgt").alias("reply"), F.col("base").alias("target"))
+    numbers = positions(turns.where("session_id IS NOT NULL").select("session_id", "id", "display_order", "created_at"), ["session_id"], [F.col("display_order"), F.col("created_at"), F.col("id")], "turn").select("id", "turn")
+    bare = assistants.where("src IS NULL").select("id", "session_id", "tgt", "base").join(numbers, "id")
+    users = turns.where("role = 'user' AND src IS NOT NULL").select("id", "session_id", "src").join(numbers, "id").select("session_id", (F.col("turn") + 1).alias("turn"), F.col("src").alias("prompt"))
+    before = bare.join(users, ["session_id", "turn"]).select("id", "prompt", F.col("tgt").alias("reply"), F.col("base").alias("target"))
+    return own.unionByName(before)
+
+
+def trained_judge(spark: SparkSession, folder: str, pairs: DataFrame) -> defects.Judge:
+    """Judge trained on a bounded sample: of each of 4 * SAMPLE slots of hashed ids the least one, if sound."""
+    model, refusals = language_model(spark, folder), Refusals(ordinary_sentences(spark, folder))
+    lexicon = align.lexicon(pairs.where("reply IS NOT NULL"), "prompt", "reply", model, glossary_terms(spark, folder))
+    hashed = pairs.where("reply IS NOT NULL AND target IS NOT NULL AND length(reply) < 3000").withColumn("h", F.xxhash64("id"))
+    drawn = hashed.groupBy(F.pmod("h", F.lit(4 * defects.SAMPLE)).alias("slot")).agg(F.min("h").alias("h")).select("h")
+    sample = hashed.join(F.broadcast(drawn), "h").orderBy("h").select("prompt", "reply", "target").collect()
+    sound = [(r["prompt"], r["reply"], r["target"]) for r in sample if defects.is_sound(model, refusals, r["prompt"], r["reply"], r["target"])]
+    return defects.Judge(model, refusals, lexicon).train(sound)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = written(reply_pairs(spark, folder), "reply_pairs")
+    found = defects.defects(pairs, "prompt", "reply", "target", ["id"], trained_judge(spark, folder, pairs))
+    return found.where("defect IS NOT NULL").select(F.col("id").alias("message_id"), "defect")
+
+
 def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return written(tokens.token_counts(table(spark, folder, "documents"), "text", ["doc_id", "source"]), "tokens")
 
@@ -150,4 +187,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text", 200).withColumnRenamed("shared", "shared_chars")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_gaps": p3_gaps, "p4_found": p4_found, "p4_segments": p4_segments, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_gaps": p3_gaps, "p4_found": p4_found, "p4_segments": p4_segments, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
