@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.plans import hierarchy_queries
+from parlance.plans import hierarchy_queries, workspace, workspace_sql
 
-QUERIES = dict(hierarchy_queries.QUERIES)
-ORACLE = dict(hierarchy_queries.ORACLE)
+QUERIES = workspace.QUERIES | hierarchy_queries.QUERIES
+ORACLE = workspace_sql.ORACLE | hierarchy_queries.ORACLE

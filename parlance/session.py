@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +55,23 @@ def forget(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they run; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_parlance_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # the driver serves the archive to the executors as long as it runs
+    folder = tempfile.mkdtemp(prefix="parlance-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "parlance_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.join("parlance", os.path.relpath(full, package)))
+    context.addPyFile(path)
+    context._parlance_shipped = True

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Scan `<folder>/<name>.parquet`; filters and columns are pushed into the scan by the planner."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
