@@ -13,7 +13,7 @@ from parlance.llm.refusals import Refusals
 from parlance.llm.sentences import blank, sentences
 from parlance.operators.ranking import positions
 from parlance.operators.versions import current_rows
-from parlance.session import written
+from parlance.session import release, written
 from parlance.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,13 +122,16 @@ def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """
     m = table(spark, folder, "messages")
     role = conversations.role_of(F.col("role"))
-    cur = written(current_rows(m, {c: F.col(c) for c in ("session_id", "display_order", "created_at", "target_lang")} | {"role": role, "src": F.when(~blank(F.col("original_content")), F.col("original_content")), "tgt": F.when(role == "assistant", F.col("translated_content"))}), "current")
-    turns = cur.where("NOT (role <=> 'system')")
-    assistants = turns.where("role = 'assistant'").join(code_bases(spark, folder), F.col("target_lang") == F.col("code"), "left")
+    place = {c: F.col(c) for c in ("session_id", "display_order", "created_at")} | {"role": role}
+    turns = written(current_rows(m, place).where("session_id IS NOT NULL AND NOT (role <=> 'system')"), "turns")
+    numbers = written(positions(turns, ["session_id"], [F.col("display_order"), F.col("created_at"), F.col("id")], "turn").select("id", "session_id", "turn", "role"), "numbers")
+    texts = {"role": role, "src": F.when(~blank(F.col("original_content")), F.col("original_content")), "tgt": F.when(role == "assistant", F.col("translated_content")), "code": F.col("target_lang")}
+    # the three readers below share one shuffle of the texts
+    cur = current_rows(m, texts, keep=F.coalesce(role.isin("user", "assistant"), F.lit(False)))
+    assistants = cur.where("role = 'assistant'").join(code_bases(spark, folder), "code", "left")
     own = assistants.where("src IS NOT NULL").select("id", F.col("src").alias("prompt"), F.col("tgt").alias("reply"), F.col("base").alias("target"))
-    numbers = positions(turns.where("session_id IS NOT NULL").select("session_id", "id", "display_order", "created_at"), ["session_id"], [F.col("display_order"), F.col("created_at"), F.col("id")], "turn").select("id", "turn")
-    bare = assistants.where("src IS NULL").select("id", "session_id", "tgt", "base").join(numbers, "id")
-    users = turns.where("role = 'user' AND src IS NOT NULL").select("id", "session_id", "src").join(numbers, "id").select("session_id", (F.col("turn") + 1).alias("turn"), F.col("src").alias("prompt"))
+    bare = assistants.where("src IS NULL").select("id", "tgt", "base").join(numbers.drop("role"), "id")
+    users = cur.where("role = 'user' AND src IS NOT NULL").select("id", "src").join(numbers.drop("role"), "id").select("session_id", (F.col("turn") + 1).alias("turn"), F.col("src").alias("prompt"))
     before = bare.join(users, ["session_id", "turn"]).select("id", "prompt", F.col("tgt").alias("reply"), F.col("base").alias("target"))
     return own.unionByName(before)
 
@@ -146,6 +149,7 @@ def trained_judge(spark: SparkSession, folder: str, pairs: DataFrame) -> defects
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = written(reply_pairs(spark, folder), "reply_pairs")
+    release(spark)
     found = defects.defects(pairs, "prompt", "reply", "target", ["id"], trained_judge(spark, folder, pairs))
     return found.where("defect IS NOT NULL").select(F.col("id").alias("message_id"), "defect")
 

@@ -84,7 +84,7 @@ class Refusals:
                 yes.update(set(_grams(p)))
         for s in ordinary:
             no.update(set(_grams(s)))
-        ny, nn = sum(map(len, PHRASES.values())), max(1, sum(no.values()) / 20)
+        ny, nn = sum(map(len, PHRASES.values())), max(100, sum(no.values()) / 20)
         self.weights = {g: math.log((n + 0.01) / ny * (nn / (no[g] + 0.2))) for g, n in yes.items()}
         self.cache: dict[str, float] = {}
 
