@@ -89,10 +89,15 @@ class Refusals:
         self.cache: dict[str, float] = {}
 
     def score(self, sentence: str) -> float:
-        """Mean log odds of the n-grams, -3 for those no refusal has; above 0 it declines."""
+        """Mean log odds of the n-grams, -3 for those no refusal has; above 0 it declines.
+
+        Sentences of which less than a third of the words occur in refusals are passed over at -3.
+        """
         hit = self.cache.get(sentence)
         if hit is None:
-            grams = _grams(sentence)
+            known = sum(1 for w in _WORDS.findall(sentence.lower()) if w in self.weights)
+            plain = not _CJK.search(sentence) and 3 * known < sentence.count(" ")
+            grams = () if plain else _grams(sentence)
             hit = sum(self.weights.get(g, -3.0) for g in grams) / len(grams) if len(grams) > 2 else -3.0
             if len(self.cache) < 200_000:
                 self.cache[sentence] = hit

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.session import written
+from parlance.session import forget, release, written
 
 #: m-grams under the minimisers; a power of two.
 M = 64
@@ -284,8 +284,11 @@ def shared_spans(df: DataFrame, node: str, text: str, k: int, bucket: int = BUCK
     marked = found.join(both, "mini")
     runs = marked.groupBy("node").agg(F.collect_list(F.struct("at", "n", "mini")).alias("runs"))
     parts = written(packed(own.join(runs, "node"), "node", "text", k), "packed")
+    hot = written(both.where(f"size > {bucket}").select("mini"), "hot")
+    del marked, runs, both
+    forget(found)
+    release(own.sparkSession)
     distinct = parts.groupBy("mini", "k1", "k2").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("packed").alias("packed"))
-    hot = both.where(f"size > {bucket}").select("mini")
     done = _in_buckets(distinct.join(hot, "mini", "left_anti"), k).unionByName(_by_window(distinct.join(hot, "mini", "left_semi"), k))
     places = parts.select("node", "at", "mini", "k1", "k2").join(done, ["mini", "k1", "k2"]).select("node", "at", F.explode("ranges").alias("r"))
     spans = places.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + k - 1).alias("b")))).alias("spans"))
