@@ -157,6 +157,33 @@ def descendants(labels: DataFrame, of: DataFrame) -> DataFrame:
     return top.join(low, "root").where("first > a AND first < a + size").select("node", "below", (F.col("depth") - F.col("d0")).alias("steps"))
 
 
+def opened(edges: DataFrame, circles: DataFrame) -> DataFrame:
+    """(node, up): the edges of the nodes that run into a circle, each circle cut above its smallest node, which becomes a root."""
+    cut = F.col("on_circle") & (F.col("node") == F.col("circle"))
+    return edges.join(circles, "node").select("node", F.when(~cut, F.col("up")).alias("up"))
+
+
+def _lines(labels: DataFrame) -> DataFrame:
+    """(node, below, at, steps): every node on the path of every node `below`, itself included, `at` steps below the root."""
+    spread = paths(labels).select(F.col("node").alias("below"), F.size("path").alias("n"), F.posexplode("path").alias("at", "node"))
+    return spread.select("node", "below", F.col("at").cast("long").alias("at"), (F.col("n") - 1 - F.col("at")).cast("long").alias("steps"))
+
+
+def all_descendants(labels: DataFrame, around: DataFrame, circles: DataFrame) -> DataFrame:
+    """(node, below, steps): every descendant of every node, as many rows as there are pairs.
+
+    labels hold the trees, `around` the labels of the opened circles. On a circle everything that runs into it is below
+    each of its nodes: what the cut leaves out are the nodes of the circle deeper than the one where a path enters it.
+    """
+    ring = written(around.join(circles.where("on_circle").select("node"), "node").select("node", "root", F.col("depth").alias("q")), "ring")
+    lines = written(_lines(around), "lines")
+    entry = lines.join(ring.select("node"), "node").groupBy("below").agg(F.max("at").alias("p"))
+    last = ring.groupBy("root").agg(F.count("*").alias("k"))
+    low = around.select(F.col("node").alias("below"), "root", "depth").join(entry, "below").join(last, "root")
+    over = low.join(ring, "root").where("q > p").select("node", "below", (F.col("depth") + F.col("k") - F.col("q")).alias("steps"))
+    return _lines(labels).unionByName(lines).where("steps > 0").select("node", "below", "steps").unionByName(over)
+
+
 def rooted(hierarchy: Hierarchy) -> DataFrame:
     """(node, root, depth): depth -1 and the smallest node of the circle for those that run into one."""
     return hierarchy.labels.select("node", "root", F.col("depth").cast("int").alias("depth")).unionByName(hierarchy.circles.select("node", F.col("circle").alias("root"), F.lit(-1).alias("depth")))
