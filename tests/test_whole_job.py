@@ -1,5 +1,8 @@
 """Queries and operators do the whole job: no node, language, path or long text is left out."""
 
+import numpy as np
+
+from parlance.llm import align, langid
 from parlance.operators import hierarchy
 
 
@@ -20,3 +23,12 @@ def test_descendants_of_every_node(spark):
     got = [tuple(r) for r in hierarchy.all_descendants(h.labels, around, h.circles).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert ("b", "c", 1) in want and ("t1", "t2", 1) in want and ("c1", "t2", 4) in want
+
+
+def test_language_of_the_whole_text(spark):
+    model = langid.fit([("the house is red and the door is open", "en"), ("la maison est rouge et la porte est ouverte", "fr")] * 3)
+    text = "la maison est rouge\nla porte est ouverte\n" + "7" * 80 + "\nla maison"
+    assert [model.labels[k] for k in align.languages(model, [text, None])][0] == "fr"
+    rows = spark.createDataFrame([("the red house 4711\nthe open door 4712", "la maison rouge 4711\nla porte ouverte 4712\n" + "=" * 90)], "a string, b string")
+    got = {x for r in align.confident_pairs(rows, "a", "b", model).collect() for x in r["s"]}
+    assert align._id("fr house") in got and align._id("en house") not in got
