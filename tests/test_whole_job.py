@@ -1,6 +1,6 @@
 """Queries and operators do the whole job: no node, language, path or long text is left out."""
 
-import numpy as np
+import random
 
 from parlance.llm import align, langid
 from parlance.operators import hierarchy
@@ -32,3 +32,24 @@ def test_language_of_the_whole_text(spark):
     rows = spark.createDataFrame([("the red house 4711\nthe open door 4712", "la maison rouge 4711\nla porte ouverte 4712\n" + "=" * 90)], "a string, b string")
     got = {x for r in align.confident_pairs(rows, "a", "b", model).collect() for x in r["s"]}
     assert align._id("fr house") in got and align._id("en house") not in got
+
+
+def test_length_programme_is_not_bound_to_a_band():
+    # the end lies outside a narrow band
+    for m in (17, 40, 400):
+        assert len(align.by_length([30], [30] * m)) <= 1
+        assert len(align.by_length([30] * m, [30])) <= 1
+    rng = random.Random(1)
+    for _ in range(60):
+        a = [rng.randint(1, 200) for _ in range(rng.randint(1, 60))]
+        at = rng.randrange(len(a))
+        # a block left out, and others added
+        b = [max(1, x + rng.randint(-5, 5)) for x in a[:at] + a[at + rng.randint(0, 40) :]] + [rng.randint(1, 200) for _ in range(rng.randint(0, 30))]
+        ratio = sum(b) / max(1, sum(a))
+        full, wide = align._banded([x * ratio for x in a], b, len(a) + len(b)), align.by_length(a, b)
+        i, j, want = len(a), len(b), []
+        while i or j:
+            di, dj = align.MOVES[full[1][i][j]]
+            want += [(i - 1, j - 1)] if di == dj else []
+            i, j = i - di, j - dj
+        assert b == [] or [(x, y) for x, y, _ in wide] == ([(0, 0)] if len(a) == len(b) == 1 else want[::-1])
