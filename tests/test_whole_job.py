@@ -1,8 +1,11 @@
 """Queries and operators do the whole job: no node, language, path or long text is left out."""
 
+import inspect
 import random
 
-from parlance.llm import align, langid
+import numpy as np
+
+from parlance.llm import align, defects, langid
 from parlance.operators import hierarchy
 
 
@@ -53,3 +56,13 @@ def test_length_programme_is_not_bound_to_a_band():
             want += [(i - 1, j - 1)] if di == dj else []
             i, j = i - di, j - dj
         assert b == [] or [(x, y) for x, y, _ in wide] == ([(0, 0)] if len(a) == len(b) == 1 else want[::-1])
+
+
+def test_translations_do_not_depend_on_tasks(spark):
+    assert align.ITERATIONS >= 4 and inspect.signature(defects.Judge.train).parameters["rounds"].default >= 400
+    rng = random.Random(2)
+    # each pair of words is faint in any one pair of sentences, many together aren't
+    pairs = [(list(range(120)), rng.sample(range(200, 230), 12)) for _ in range(40)]
+    df = spark.createDataFrame(pairs, "s array<int>, t array<int>")
+    one, many = align.train(df.coalesce(1), 3), align.train(df.repartition(40), 3)
+    assert len(one.keys) and one.keys.tolist() == many.keys.tolist() and np.allclose(one.probs, many.probs, atol=1e-4)
