@@ -66,3 +66,10 @@ def test_translations_do_not_depend_on_tasks(spark):
     df = spark.createDataFrame(pairs, "s array<int>, t array<int>")
     one, many = align.train(df.coalesce(1), 3), align.train(df.repartition(40), 3)
     assert len(one.keys) and one.keys.tolist() == many.keys.tolist() and np.allclose(one.probs, many.probs, atol=1e-4)
+
+
+def test_long_texts_train_the_table():
+    src = "\n".join(f"The house number {1000 + k} in Street {k % 7} is red and wide{k % 3}." for k in range(700))
+    tgt = "\n".join(f"La maison {1000 + k} de la Rue {k % 7} est rouge et large{k % 3}." for k in range(700))
+    pairs = align.confident(src, tgt, "fr")
+    assert len(pairs) > 600 and all(align._id("fr house") in s and align._id("maison") in t for s, t in pairs)
