@@ -2,7 +2,7 @@
 
 Items are known by their sizes, so the plan is made on the histogram of sizes, which has at most `capacity` entries
 however many items there are: combinations of two, three and four sizes that fill a box exactly are found by looking up the
-complement of single, pair and triple sums, and each is used as often as its sizes are available. What is left goes
+complement in an index of single sizes and pair sums (triple sums have none), and each is used as often as its sizes are available. What is left goes
 best-fit. Items get their places by their position among those of one size.
 """
 
