@@ -33,8 +33,24 @@ CACHE = 400_000
 LEAD = 0.8
 
 
-#: Most rows with a language label of uncertain worth that widen the vocabulary.
-NOISY = 4_000
+#: Most rows with a language label of uncertain worth that widen the vocabulary, and their lengths in code points.
+NOISY, LENGTHS = 4_000, (21, 20_000)
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type, width: int | None = None):
+        self.data, self.size = np.zeros((1024,) if width is None else (1024, width), kind), 0
+
+    def add(self, value: float | np.ndarray) -> None:
+        if self.size == len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.size] = value
+        self.size += 1
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.data[at]
 
 
 class Model:
@@ -42,11 +58,18 @@ class Model:
 
     def __init__(self, labels: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], unseen: np.ndarray):
         self.labels, self.words, self.grams, self.unseen = labels, words, grams, unseen
+        self._forget()
+
+    def _forget(self) -> None:
         self.cache: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = Grown(float, len(self.labels))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "rows": []}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "rows")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def backoff(self, word: str) -> np.ndarray:
         """Score of the n-grams that cover the word, the longest known ones first.
@@ -67,34 +90,35 @@ class Model:
         if (n := self.cache.get(word)) is not None:
             return n
         v = self.words.get(word)
-        self.rows.append(self.backoff(word) if v is None else v)
-        self.cache[word] = n = len(self.rows) - 1
+        self.rows.add(self.backoff(word) if v is None else v)
+        self.cache[word] = n = self.rows.size - 1
         return n
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """One row of log scores per text; all zero for a text without words."""
+        return self.scores_words([words_of(t) for t in texts])
+
+    def scores_words(self, texts: list[list[str]]) -> np.ndarray:
+        """scores of texts given by their words."""
         if len(self.cache) >= CACHE:
-            self.cache.clear()
-            self.rows.clear()
+            self._forget()
         get, flat, ends = self.cache.get, [], []
-        for t in texts:
-            words = WORD.findall(t.lower())
+        for words in texts:
             ids = list(map(get, words))
             if None in ids:
-                ids = [self.row(w) for w in words]
+                ids = [self.row(w) if n is None else n for w, n in zip(words, ids, strict=True)]
             flat.extend(ids)
             ends.append(len(flat))
         out = np.zeros((len(texts), len(self.labels)))
         if not flat:
             return out
-        per_word = np.asarray(self.rows)[np.asarray(flat)]
-        run = np.vstack([np.zeros(len(self.labels)), np.cumsum(per_word, axis=0)])
+        run = np.vstack([np.zeros(len(self.labels)), np.cumsum(self.rows[np.asarray(flat)], axis=0)])
         ends = np.asarray(ends)
-        starts = np.concatenate([[0], ends[:-1]])
-        return run[ends] - run[starts]
+        return run[ends] - run[np.concatenate([[0], ends[:-1]])]
 
 
 def words_of(text: str) -> list[str]:
+    """Words in lower case; runs of Han, kana and Hangul come as one each."""
     return WORD.findall(text.lower())
 
 
@@ -148,35 +172,43 @@ def widened(samples: list[tuple[str | None, str | None]], noisy: Iterable[tuple[
     return fit([*samples, *more[: SAMPLES * 10]], most=SAMPLES * 11)
 
 
+class Reading:
+    """The counted sentences of many texts, one after the other: `starts` holds the place of each text's first one."""
+
+    def __init__(self, model: Model, texts: list[str | None]):
+        self.spans, flat, self.starts = [], [], [0]
+        for t in texts:
+            own = [(a, b) for a, b in pieces(t) if COUNTS.search(t, a, b)] if t else []
+            self.spans += own
+            flat.extend(t[a:b] for a, b in own)
+            self.starts.append(len(flat))
+        self.texts = [s if s.isascii() else unicodedata.normalize("NFC", s) for s in flat]
+        self.words = [words_of(s) for s in self.texts]
+        self.lettered = [bool(LETTER.search(s)) for s in self.texts]
+        scores = self.scores = model.scores_words(self.words)
+        best = scores.argmax(axis=1) if len(flat) else np.zeros(0, int)
+        top = np.sort(scores, axis=1)
+        lead = top[:, -1] - top[:, -2] if scores.shape[1] > 1 else np.ones(len(flat))
+        #: label number of each sentence; -1 for one that says nothing of its own: it has no letters, or no language leads clearly
+        self.labels = np.where((lead >= LEAD) & np.array(self.lettered, bool), best, -1).tolist()
+        self.confidence = (1 / np.exp(scores - top[:, -1:]).sum(axis=1) if len(flat) else np.zeros(0)).tolist()
+
+    def whole(self, k: int) -> int:
+        """Label number of a text: of its first sentence that has one, else of all taken together; -1 if no sentence has a letter."""
+        a, b = self.starts[k], self.starts[k + 1]
+        for x in self.labels[a:b]:
+            if x >= 0:
+                return x
+        return int(self.scores[a:b].sum(axis=0).argmax()) if any(self.lettered[a:b]) else -1
+
+
 def sentence_languages(model: Model, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int, int, float]]]]:
-    """Per text the label number of the whole, and its counted sentences as (start, end, label number or -1, confidence).
-
-    -1 stands for a sentence that says nothing of its own: it has no letters, or no language leads clearly; for the
-    whole it means that no sentence has a letter.
-    """
-    spans, flat = [], []
-    for t in texts:
-        own = [(a, b) for a, b in pieces(t) if COUNTS.search(t, a, b)] if t else []
-        spans.append(own)
-        flat.extend(t[a:b] for a, b in own)
-    flat = [unicodedata.normalize("NFC", s) if not s.isascii() else s for s in flat]
-    scores = model.scores(flat)
-    best = scores.argmax(axis=1) if len(flat) else np.zeros(0, int)
-    top = np.sort(scores, axis=1)
-    lead = top[:, -1] - top[:, -2] if scores.shape[1] > 1 else np.ones(len(flat))
-    shifted = np.exp(scores - top[:, -1:])
-    conf = 1 / shifted.sum(axis=1) if len(flat) else np.zeros(0)
-    out, k = [], 0
-    for own in spans:
-        row, from_ = [], k
-        for a, b in own:
-            row.append((a, b, int(best[k]) if lead[k] >= LEAD and LETTER.search(flat[k]) else -1, float(conf[k])))
-            k += 1
-        if all(x[2] < 0 for x in row):
-            whole = int(scores[from_:k].sum(axis=0).argmax()) if any(LETTER.search(x) for x in flat[from_:k]) else -1
-        else:
-            whole = next(x[2] for x in row if x[2] >= 0)
-        out.append((whole, row))
+    """Per text the label number of the whole, and its counted sentences as (start, end, label number or -1, confidence)."""
+    r = Reading(model, texts)
+    out = []
+    for k in range(len(texts)):
+        a, b = r.starts[k], r.starts[k + 1]
+        out.append((r.whole(k), [(*r.spans[i], r.labels[i], r.confidence[i]) for i in range(a, b)]))
     return out
 
 

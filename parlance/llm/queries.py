@@ -19,14 +19,28 @@ from parlance.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def language_model(spark: SparkSession, folder: str) -> langid.Model:
-    """Fitted on lang_samples, a table of fixed size (at most langid.SAMPLES rows), and on at most langid.NOISY labelled messages."""
+def samples(spark: SparkSession, folder: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(text, language) of lang_samples, a table of fixed size (at most langid.SAMPLES rows), and of labelled messages.
+
+    Of the messages of langid.LENGTHS code points whose label names a language, those with the least hash in each of
+    langid.NOISY slots; so the driver reads a bounded sample.
+    """
     rows = table(spark, folder, "lang_samples").orderBy("sample_id").select("text", "want").limit(langid.SAMPLES + 1).collect()
     h = F.xxhash64("id", "updated_at", "source_lang")
-    m = table(spark, folder, "messages").where("length(original_content) > 20").join(code_bases(spark, folder).where("base IS NOT NULL"), F.col("source_lang") == F.col("code")).withColumn("h", h)
+    m = table(spark, folder, "messages").where(F.length("original_content").between(*langid.LENGTHS)).join(code_bases(spark, folder).where("base IS NOT NULL"), F.col("source_lang") == F.col("code")).withColumn("h", h)
     drawn = m.groupBy(F.pmod("h", F.lit(langid.NOISY)).alias("slot")).agg(F.min("h").alias("h")).select("h")
     noisy = m.join(F.broadcast(drawn), "h").groupBy("h").agg(F.min("original_content").alias("text"), F.min("base").alias("base")).orderBy("h").collect()
-    return langid.widened([(r["text"], r["want"]) for r in rows], [(r["text"], r["base"]) for r in noisy])
+    return [(r["text"], r["want"]) for r in rows], [(r["text"], r["base"]) for r in noisy]
+
+
+def language_model(spark: SparkSession, folder: str) -> langid.Model:
+    return langid.widened(*samples(spark, folder))
+
+
+def models(spark: SparkSession, folder: str) -> tuple[langid.Model, Refusals]:
+    """The model of languages and that of refusals, whose ordinary sentences are those of the same samples."""
+    known, noisy = samples(spark, folder)
+    return langid.widened(known, noisy), Refusals([x for t, _ in [*known, *noisy] for x in sentences(t)])
 
 
 def code_bases(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,12 +63,6 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return wanted.select(F.col("id").alias("message_id"), F.inline("segments")).select("message_id", "seg_no", "lang")
 
 
-def ordinary_sentences(spark: SparkSession, folder: str) -> list[str]:
-    """Sentences of lang_samples, a table of fixed size."""
-    rows = table(spark, folder, "lang_samples").orderBy("sample_id").select("text").limit(langid.SAMPLES).collect()
-    return [x for r in rows for x in sentences(r["text"])]
-
-
 def translated_messages(spark: SparkSession, folder: str) -> DataFrame:
     """(id, mode, src, tgt) of the current messages that hold both texts."""
     both = ~blank(F.col("original_content")) & ~blank(F.col("translated_content"))
@@ -70,10 +78,10 @@ def glossary_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows, model = translated_messages(spark, folder), language_model(spark, folder)
+    rows, (model, refusals) = translated_messages(spark, folder), models(spark, folder)
     lexicon = align.lexicon(rows, "src", "tgt", model, glossary_terms(spark, folder))
     bilingual = rows.where("mode = 'bilingual'")
-    return align.aligned(bilingual, "id", "src", "tgt", model, lexicon, Refusals(ordinary_sentences(spark, folder))).withColumnRenamed("id", "message_id")
+    return align.aligned(bilingual, "id", "src", "tgt", model, lexicon, refusals).withColumnRenamed("id", "message_id")
 
 
 LIMIT, OVERLAP = 2_500, 100
@@ -137,10 +145,11 @@ def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trained_judge(spark: SparkSession, folder: str, pairs: DataFrame) -> defects.Judge:
-    """Judge trained on a bounded sample: of each of 4 * SAMPLE slots of hashed ids the least one, if sound."""
-    model, refusals = language_model(spark, folder), Refusals(ordinary_sentences(spark, folder))
+    """Judge trained on a bounded sample: of the pairs with replies shorter than defects.LENGTH the one with the least hash
+    in each of 4 * defects.SAMPLE slots, if sound."""
+    model, refusals = models(spark, folder)
     lexicon = align.lexicon(pairs.where("reply IS NOT NULL"), "prompt", "reply", model, glossary_terms(spark, folder))
-    hashed = pairs.where("reply IS NOT NULL AND target IS NOT NULL AND length(reply) < 3000").withColumn("h", F.xxhash64("id"))
+    hashed = pairs.where("reply IS NOT NULL AND target IS NOT NULL").where((F.length("reply") < defects.LENGTH) & (F.length("prompt") < defects.LENGTH)).withColumn("h", F.xxhash64("id"))
     drawn = hashed.groupBy(F.pmod("h", F.lit(4 * defects.SAMPLE)).alias("slot")).agg(F.min("h").alias("h")).select("h")
     sample = hashed.join(F.broadcast(drawn), "h").orderBy("h").select("prompt", "reply", "target").collect()
     sound = [(r["prompt"], r["reply"], r["target"]) for r in sample if defects.is_sound(model, refusals, r["prompt"], r["reply"], r["target"])]

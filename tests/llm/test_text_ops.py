@@ -149,13 +149,40 @@ def test_by_length_band():
     assert align.by_length([], [1]) == [] == align.by_length([1], [])
 
 
-def rows_for(pairs, lang):
-    return {align._id(f"{lang} {a}"): [(align._id(b), 1.0)] for a, b in pairs}
+def test_beads_are_those_of_the_band():
+    """Side by side as one by one, for texts of all shapes."""
+    rng = random.Random(1)
+    sizes = [([rng.randint(1, 200) for _ in range(rng.randint(0, 40))], [rng.randint(1, 200) for _ in range(rng.randint(0, 40))]) for _ in range(150)]
+    sizes += [([9] * 500, [9] * 500), ([5], [1] * 40), ([7] * 300, [7] * 3)]
+    for (a, b), got in zip(sizes, align.beads(sizes), strict=True):
+        want = align.by_length(a, b)
+        assert [(i, j) for i, j, _ in got] == [(i, j) for i, j, _ in want] or sum(c for *_, c in got) == pytest.approx(sum(c for *_, c in want))
+
+
+def test_long_texts_train():
+    """A text of 500 sentences gives its confident pairs like any other."""
+    src = "\n".join(f"The lease {4000 + i} was signed on time." for i in range(500))
+    tgt = "\n".join(f"Le bail {4000 + i} a été signé à temps." for i in range(500))
+    assert len(list(align.confident([(src, tgt)]))) == 500
+
+
+def test_very_long_texts_align():
+    src = [f"Lease {7000 + i}." for i in range(1_500)]
+    tgt = [f"Bail {7000 + i}." for i in range(1_500)]
+    assert align.align(src, tgt, "fr", table_of([("lease", "bail")], "fr"))[0] == [(i, i) for i in range(1_500)]
+
+
+def hashes(words):
+    return np.array([align.token_hash(w) for w in words], np.uint64)
+
+
+def table_of(pairs, lang):
+    return align.Table(align.source_ids(hashes([a for a, _ in pairs]), lang), hashes([b for _, b in pairs]), np.ones(len(pairs)))
 
 
 def test_align_merges_moves_and_gaps():
     words = [("lease", "bail"), ("stamp", "tampon"), ("invoice", "facture"), ("paid", "paye"), ("signed", "signe"), ("thank", "merci"), ("answer", "reponse")]
-    table = rows_for(words, "fr")
+    table = table_of(words, "fr")
     src = ["Lease signed.", "Stamp 4711 lease.", "Invoice paid.", "Thank answer."]
     assert align.align(src, ["Bail signe.", "Tampon 4711 bail.", "Facture paye.", "Merci reponse."], "fr", table)[0] == [(0, 0), (1, 1), (2, 2), (3, 3)]
     assert align.align(src, ["Merci reponse.", "Bail signe.", "Tampon 4711 bail."], "fr", table)[0] == [(0, 1), (1, 2), (3, 0)]
@@ -169,18 +196,70 @@ def test_training_finds_translations(spark):
     rows = []
     for _ in range(120):
         pick = rng.sample(words, 3)
-        rows.append(([align._id("fr " + a) for a, _ in pick], [align._id(b) for _, b in rng.sample(pick, 3)]))
-    found = align.train(spark.createDataFrame(rows, "s array<int>, t array<int>")).rows()
+        rows.append(([align.token_hash("fr " + a) - 2**63 for a, _ in pick], [align.token_hash(b) - 2**63 for _, b in rng.sample(pick, 3)]))
+    found = align.train(spark.createDataFrame(rows, "s array<bigint>, t array<bigint>"))
     for a, b in words:
-        assert max(found[align._id("fr " + a)], key=lambda x: x[1])[0] == align._id(b)
-    assert len(align.train(spark.createDataFrame([], "s array<int>, t array<int>")).keys) == 0
+        lo, hi = (int(x[0]) for x in found.ranges(np.array([align.token_hash("fr " + a) - 2**63], np.int64).view(np.uint64)))
+        best = lo + int(found.p[lo:hi].argmax())
+        assert int(found.t[best : best + 1].view(np.int64)[0]) == align.token_hash(b) - 2**63 and found.p[best] > 0.5
+    assert len(align.train(spark.createDataFrame([], "s array<bigint>, t array<bigint>")).t) == 0
+
+
+def test_training_is_that_of_one_process(spark):
+    """Rounds over many tasks give the table that a plain programme gives."""
+    rng = random.Random(4)
+    rows = [(rng.sample(range(20), 4), rng.sample(range(100, 120), 3)) for _ in range(60)]
+    found = align.train(spark.createDataFrame(rows, "s array<bigint>, t array<bigint>").repartition(5), iterations=3)
+    t: dict = {}
+    for k in range(3):
+        counts: dict = {}
+        for s, own in rows:
+            for w in own:
+                p = {x: 1.0 if not k else t.get((x, w), 0.0) for x in s}
+                for x in s:
+                    if p[x]:
+                        counts[x, w] = counts.get((x, w), 0) + p[x] / sum(p.values())
+        sums: dict = {}
+        for (x, _), c in counts.items():
+            sums[x] = sums.get(x, 0) + c
+        t = {(x, w): c / sums[x] for (x, w), c in counts.items() if sums[x] >= (2 if not k else 0) and c >= align.LEAST * sums[x]}
+    got = {(int(found.s[i]), int(w)): float(p) for i, w, p in zip(found.per, found.t, found.p)}
+    assert got.keys() == t.keys() and all(got[x] == pytest.approx(t[x], rel=1e-4) for x in t)
+
+
+#: Refusals that no frame yields, written for this test.
+UNSEEN = [
+    "I'm afraid I can't translate this letter for you.", "I do not translate documents that contain private data.", "Sorry, but this is content I'm not comfortable translating.",
+    "I must respectfully decline to provide this translation.", "This appears to contain confidential information; I can't process it.", "Je regrette, je ne peux pas vous fournir la traduction demandée.",
+    "Cette traduction m'est impossible car le contenu est sensible.", "En tant que modèle de langage, je ne traduis pas ce genre de documents.", "Tôi rất tiếc nhưng không thể giúp bạn dịch đoạn văn này.",
+    "Nội dung này vi phạm chính sách nên tôi không thể dịch.", "恐れ入りますが、こちらの文章の翻訳は対応いたしかねます。", "私はAIですので、このような機密文書を翻訳することはできません。",
+    "죄송합니다. 이 문서의 번역은 해 드릴 수 없습니다.", "저는 AI 모델이라 이런 요청에 응할 수 없습니다.", "抱歉，我不能为您翻译这份合同。", "由于内容涉及隐私，我无法提供译文。", "此类文件我不能协助翻译。",
+]
 
 
 def test_refusals():
     no = refusals.Refusals([t for t, _ in SAMPLES])
-    assert all(no.score(p) > refusals.DECLINES for own in refusals.PHRASES.values() for p in own)
-    assert no.score("> I CANNOT HELP WITH DOCUMENTS OF THIS SORT.") > refusals.DECLINES
-    assert all(no.score(t) <= refusals.DECLINES for t, _ in SAMPLES)
+    assert sum(no.declines(t) for t in UNSEEN) >= 0.9 * len(UNSEEN)
+    assert no.declines("> I AM UNABLE TO PROCESS THIS SORT OF THING.")
+    assert not any(no.declines(t) for t, _ in SAMPLES)
+    assert not any(no.declines(t) for own in refusals.OTHERWISE.values() for t in own)
+    assert no.scores([]) == [] and not no.declines("") and not no.declines("123")
+
+
+def test_refusals_of_frames_left_out(monkeypatch):
+    """Of each third of the frames, left out of the fit, at least nine in ten sentences are found."""
+    whole = refusals.FRAMES
+    missed = total = 0
+    for part in range(3):
+        rest = {k: {**v, "core": tuple(c for i, c in enumerate(v["core"]) if i % 3 != part)} for k, v in whole.items()}
+        out = {k: {**v, "core": tuple(c for i, c in enumerate(v["core"]) if i % 3 == part)} for k, v in whole.items()}
+        monkeypatch.setattr(refusals, "FRAMES", rest)
+        no = refusals.Refusals([t for t, _ in SAMPLES])
+        monkeypatch.setattr(refusals, "FRAMES", out)
+        texts = [t for lang in out for t in refusals.composed(random.Random(part), lang, 60)]
+        missed += sum(not no.declines(t) for t in texts)
+        total += len(texts)
+    assert missed <= 0.1 * total
 
 
 def test_copies():
@@ -194,7 +273,7 @@ def test_judge(model):
     sound = [(f"The manager lost the lease {i}00. The invoice must be paid by {i}77.", f"Le responsable a perdu le bail {i}00. La facture doit être payée avant {i}77.", "fr") for i in range(1, 60)]
     sound += [(f"The manager lost the lease {i}00. The invoice must be paid by {i}77.", f"经理丢失了合同 {i}00，要求补办。发票必须支付 {i}77。", "zh") for i in range(1, 60)]
     random.Random(0).shuffle(sound)
-    table = align.Table(np.array([align._id(f"fr {a}") << 32 | align._id(b) for a, b in [("invoice", "facture"), ("paid", "payée"), ("lease", "bail"), ("lost", "perdu"), ("manager", "responsable"), ("must", "doit")]]), np.ones(6))
+    table = table_of([("invoice", "facture"), ("paid", "payée"), ("lease", "bail"), ("lost", "perdu"), ("manager", "responsable"), ("must", "doit")], "fr")
     judge = defects.Judge(model, refusals.Refusals([t for t, _ in SAMPLES]), table).train(sound)
     prompt, reply, _ = next(x for x in sound if x[2] == "fr")
     got = judge.judge([(prompt, reply, "fr"), (prompt, None, "fr"), (prompt, " …", "fr"), (prompt, "I cannot help with documents of this sort.", "fr"), (prompt, "> " + prompt.upper(), "fr"), (prompt, "经理丢失了合同600，要求补办。发票必须支付677。", "fr"), (prompt, reply[:50], "fr"), (prompt, reply, None), ("600\n700", "600\n700", "fr")])
