@@ -20,14 +20,14 @@ from parlance.llm.sentences import pieces
 
 SPACE = re.compile(r"\s+")
 OUTER = " \t\n\r"
-#: Penalty of a cut at a newline, a sentence end, white space, inside a word.
-PENALTY = {"paragraph": 0.0, "sentence": 1.0, "word": 6.0, "none": 30.0}
+#: The levels of a cut: at a newline, a sentence end, white space, inside a word.
+LEVELS = ("paragraph", "sentence", "word", "none")
 #: Weight of a piece's squared deviation from equal sizes.
 BALANCE = 2.0
 
 
 def boundary(text: str, limit: int) -> str:
-    """The coarsest of paragraph, sentence, word whose pieces all fit the limit, else none. Outer white space doesn't count."""
+    """The coarsest of paragraph, sentence, word whose pieces all fit the limit, else none, by definition: what `cuts` must find."""
     text = text.strip(OUTER)
     if max(map(len, text.split("\n")), default=0) <= limit:
         return "paragraph"
@@ -36,46 +36,65 @@ def boundary(text: str, limit: int) -> str:
     return "word" if max(map(len, text.split()), default=0) <= limit else "none"
 
 
+def penalties(target: float, limit: int) -> list[float]:
+    """Penalty of a cut by level.
+
+    A cut inside a sentence that fits is dearer than cuts at both its ends with the piece between them, and so is one
+    inside a word that fits: at most three pieces change their balance. So no such position need be offered.
+    """
+    most = BALANCE * max(1.0, (limit / target - 1) ** 2)
+    word = 2 * 1.0 + 3 * most + 2
+    return [0.0, 1.0, word, 2 * word + 3 * most + 2]
+
+
 def candidates(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where the text may be cut, with penalties; finer ones only inside what is too long without them."""
-    cost: dict[int, float] = {}
+    """(positions where the text may be cut, their levels); finer ones only inside what is too long without them."""
+    level: dict[int, int] = {}
+    step = limit - overlap
 
-    def offer(at: int, kind: str) -> None:
+    def offer(at: int, kind: int) -> None:
         if 0 < at < len(text):
-            cost[at] = min(cost.get(at, 1e9), PENALTY[kind])
-
-    for m in re.finditer("\n", text):
-        offer(m.start(), "paragraph")
-        offer(m.end(), "paragraph")
+            level[at] = min(level.get(at, 3), kind)
+
+    def gap(a: int, b: int, kind: int) -> None:
+        """White space, both ends and as often inside as it takes."""
+        offer(a, kind)
+        offer(b, kind)
+        for at in range(a + step, b, step):
+            offer(at, kind)
+
+    for m in re.finditer("\n+", text):
+        for at in range(m.start(), m.end() + 1) if m.end() - m.start() <= limit else [*range(m.start(), m.end(), step), m.end()]:
+            offer(at, 0)
     for a, b in pieces(text):
-        offer(b, "sentence" if text[b : b + 1] != "\n" else "paragraph")
-        if b - a <= limit:
+        bare = text[a:b].strip()
+        offer(b, 1)
+        if bare and len(bare) < b - a:
+            start = a + text[a:b].index(bare)
+            gap(a, start, 1)
+            gap(start + len(bare), b, 1)
+        elif not bare:
+            gap(a, b, 1)
+        if len(bare) <= limit:
             continue
         at = a
         for m in [*SPACE.finditer(text, a, b), None]:
             stop = m.start() if m else b
-            for hard in range(at + limit - overlap, stop, max(1, limit - overlap)) if stop - at > limit else ():
-                offer(hard, "none")
+            for hard in range(at + step, stop, step) if stop - at > limit else ():
+                offer(hard, 3)
             if m:
-                offer(m.start(), "word")
-                offer(m.end(), "word")
+                gap(m.start(), m.end(), 2)
                 at = m.end()
-    at = np.array(sorted(cost), dtype=np.int64)
-    return at, np.array([cost[x] for x in at.tolist()])
+    at = np.array(sorted(level), dtype=np.int64)
+    return at, np.array([level[x] for x in at.tolist()], dtype=np.int64)
 
 
-def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, core, end) of each piece: text[core:end] tile the text, text[start:core] repeats the end of the piece before.
-
-    end - start is at most the limit; the overlap is `overlap`, or less where a natural piece leaves less room.
-    """
-    n = len(text)
-    if n <= limit:
-        return [(0, 0, n)] if n else []
-    at, penalty = candidates(text, limit, overlap)
-    at = np.concatenate([[0], at, [n]])
-    penalty = np.concatenate([[0.0], penalty, [0.0]])
+def programme(n: int, at: np.ndarray, penalty: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]] | None:
+    """(first, last) of the pieces between the positions that cost least, or None if no choice fits the limit."""
+    at, penalty = np.concatenate([[0], at, [n]]), np.concatenate([[0.0], penalty, [0.0]])
     target = n / np.ceil(n / (limit - overlap))
+    if np.diff(at).max() > limit:
+        return None
     best = np.full(len(at), np.inf)
     back = np.zeros(len(at), dtype=np.int64)
     best[0] = 0.0
@@ -90,12 +109,44 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     out, j = [], len(at) - 1
     while j:
         i = int(back[j])
-        core, end = int(at[i]), int(at[j])
-        out.append((core - min(overlap, limit - (end - core), core), core, end))
+        out.append((int(at[i]), int(at[j])))
         j = i
     return out[::-1]
 
 
+def cut(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], str]:
+    """((start, core, end) of each piece, the coarsest level at which the programme finds pieces that fit).
+
+    text[core:end] tile the text, text[start:core] repeats the end of the piece before. end - start is at most the limit;
+    the overlap is `overlap`, or less where a natural piece leaves less room.
+    """
+    n = len(text)
+    if not n:
+        return [], LEVELS[0]
+    if n <= limit:
+        return [(0, 0, n)], LEVELS[0]
+    at, level = candidates(text, limit, overlap)
+    bare = text.strip(OUTER)
+    first = text.index(bare) if bare else 0
+    for edge in (first, first + len(bare)):
+        if 0 < edge < n and edge not in at:
+            where = int(np.searchsorted(at, edge))
+            at, level = np.insert(at, where, edge), np.insert(level, where, 1)
+    # outer white space doesn't count, so it may be cut at any level
+    outer = (at <= first) | (at >= first + len(bare))
+    cost = np.array(penalties(n / np.ceil(n / (limit - overlap)), limit))
+    for k, name in enumerate(LEVELS):
+        own = (level <= k) | outer
+        found = programme(n, at[own], cost[level[own]], limit, overlap)
+        if found is not None:
+            break
+    return [(core - min(overlap, limit - (end - core), core), core, end) for core, end in found], name
+
+
+def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    return cut(text, limit, overlap)[0]
+
+
 def split(df: DataFrame, text: str, keep: list[str], limit: int, overlap: int, with_text: bool = True) -> DataFrame:
     """One row per piece: `keep`, piece_no, start, core, end, boundary (of the whole text) and, if wanted, the piece.
 
@@ -116,8 +167,8 @@ def split(df: DataFrame, text: str, keep: list[str], limit: int, overlap: int, w
             for k, t in enumerate(b.column(len(keep)).to_pylist()):
                 if not t:
                     continue
-                kind = boundary(t, limit)
-                for no, (start, core, end) in enumerate(cuts(t, limit, overlap)):
+                found, kind = cut(t, limit, overlap)
+                for no, (start, core, end) in enumerate(found):
                     take.append(k)
                     rows.append((no, start, core, end))
                     kinds.append(kind)

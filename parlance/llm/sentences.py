@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The end of a piece: a newline, or . ! ? before white space or the end, or a full-width stop.
-END = re.compile(r"\n|(?<=[.!?])(?=\s|\Z)|(?<=[。！？])")
+END = re.compile(r"[\n.!?。！？](?:(?<=[\n。！？])|(?=\s|\Z))")
 COUNTS = re.compile(r"[^\W_]")
 LETTER = re.compile(r"[^\W\d_]")
 #: For Java's regular expressions: a letter or digit.
@@ -20,9 +20,11 @@ def pieces(text: str) -> list[tuple[int, int]]:
     """Spans of all pieces, counted or not; newlines belong to no piece."""
     out, at = [], 0
     for m in END.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
+        end = m.end()
+        stop = end - 1 if text[end - 1] == "\n" else end
+        if stop > at:
+            out.append((at, stop))
+        at = end
     if at < len(text):
         out.append((at, len(text)))
     return out

@@ -77,25 +77,35 @@ def test_cuts_round_trip(text, limit):
     assert all(s == max(0, c - min(overlap, limit - (e - c))) for s, c, e in found)
 
 
-def test_cuts_are_best():
-    """Against every set of cuts of a short text."""
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \t.\n!。\u00a0", max_size=120), st.integers(5, 40))
+def test_level_found_is_the_boundary(text, limit):
+    """The level at which the programme finds its cuts is the boundary by definition."""
+    if len(text) > limit:
+        assert chunking.cut(text, limit, limit // 5)[1] == chunking.boundary(text, limit)
+
+
+@pytest.mark.parametrize("text", ["aa bb. cc dd.\nee ff gg. hh", "aa bb cc dd ee. ff\ngg", "aaaaaaa bb.cc dd. e f g", "a b c d e f g h i j k"])
+def test_cuts_are_best(text):
+    """Against every set of cuts of a short text at any position but inside words, of which none is too long."""
     from itertools import combinations
 
-    text, limit, overlap = "aa bb. cc dd.\nee ff gg. hh", 12, 2
-    at, penalty = chunking.candidates(text, limit, overlap)
-    cost = dict(zip(at.tolist(), penalty.tolist(), strict=True))
+    limit, overlap = 12, 2
+    at, kind = chunking.candidates(text, limit, overlap)
+    levels = {i: 2 for i in range(1, len(text)) if text[i].isspace() or text[i - 1].isspace()} | dict(zip(at.tolist(), kind.tolist(), strict=True))
     target = len(text) / np.ceil(len(text) / (limit - overlap))
+    cost = chunking.penalties(target, limit)
 
     def value(points):
         edges = [0, *points, len(text)]
-        total = sum(cost[p] for p in points)
+        total = sum(cost[levels[p]] for p in points)
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > limit:
                 return np.inf
             total += chunking.BALANCE * ((b - a - target) / target) ** 2 + (max(0, b - a + overlap - limit) / overlap if a else 0)
         return total
 
-    best = min(value(p) for k in range(len(at) + 1) for p in combinations(at.tolist(), k))
+    best = min(value(p) for k in range(6) for p in combinations(sorted(levels), k))
     assert value([c for _, c, _ in chunking.cuts(text, limit, overlap)][1:]) == pytest.approx(best)
 
 
