@@ -1,24 +1,21 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each record's expected copies are its source's rate. A prefix sum of the rates in each source, in an order fixed by hashes, and one
-random offset give the copies: one for every integer boundary that the sum crosses. Of a few random offsets each source
-takes the one that comes nearest to its target. A source of any size is summed by `positions` over many tasks.
+random offset give the copies: one for every integer boundary that the sum crosses, so that each record's chances are those of its
+rate. A source of any size is summed by `positions` over many tasks.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.ranking import positions
-from parlance.session import written
 
 #: Most sources with a target; targets are read by the driver.
 SOURCES = 10_000
-#: Random offsets to choose from.
-OFFSETS = 32
 UNIT = 2**40
 
 
@@ -54,20 +51,13 @@ def mix(records: DataFrame, node: str, source: str, size: str, targets: DataFram
     # rates and offsets in units of 2^-40, so that prefix sums are exact whatever the order of addition
     names = sorted(rate)
     scaled = {s: int(rate[s] * UNIT) for s in names}
-    offsets = [int(draw.random() * UNIT) for _ in range(OFFSETS)]
-    known = F.broadcast(spark.createDataFrame([(s, scaled[s]) for s in names], "source string, rate bigint"))
-    placed = written(positions(own.join(known, "source"), ["source"], [F.xxhash64("node"), F.col("node")], "nth"), "placed")
-
-    def copies(offset: Column) -> Column:
-        until = F.col("nth").cast("decimal(18,0)") * F.col("rate").cast("decimal(18,0)") + offset.cast("decimal(18,0)")
-        unit = F.lit(UNIT).cast("decimal(18,0)")
-        return F.floor(until / unit).cast("bigint") - F.floor((until - F.col("rate").cast("decimal(18,0)")) / unit).cast("bigint")
-
-    reached = {r["source"]: r for r in placed.groupBy("source").agg(*[F.sum(F.col("size") * copies(F.lit(o))).alias(f"t{i}") for i, o in enumerate(offsets)]).collect()}
-    totals = {r["source"]: float(r["t"]) for r in sums}
-    chosen = [(s, offsets[min(range(OFFSETS), key=lambda i: abs(reached[s][f"t{i}"] - rate[s] * totals[s]))]) for s in names]
-    drawn = placed.join(F.broadcast(spark.createDataFrame(chosen, "source string, offset bigint")), "source")
-    return drawn.select(F.col("node").alias(node), F.col("source").alias(source), F.col("size").alias(size), copies(F.col("offset")).cast("int").alias("copies")).where("copies > 0")
+    known = F.broadcast(spark.createDataFrame([(s, scaled[s], int(draw.random() * UNIT)) for s in names], "source string, rate bigint, offset bigint"))
+    placed = positions(own.join(known, "source"), ["source"], [F.xxhash64("node"), F.col("node")], "nth")
+    rate_, unit = F.col("rate").cast("decimal(18,0)"), F.lit(UNIT).cast("decimal(18,0)")
+    until = F.col("nth").cast("decimal(18,0)") * rate_ + F.col("offset").cast("decimal(18,0)")
+    copies = F.floor(until / unit).cast("bigint") - F.floor((until - rate_) / unit).cast("bigint")
+    drawn = placed.withColumn("copies", copies.cast("int")).where("copies > 0")
+    return drawn.select(F.col("node").alias(node), F.col("source").alias(source), F.col("size").alias(size), "copies")
 
 
 def shares(mixed: DataFrame, source: str, size: str, targets: DataFrame) -> DataFrame:

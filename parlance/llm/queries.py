@@ -98,6 +98,15 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.split(long_messages(spark, folder), "text", ["id"], LIMIT, OVERLAP).withColumnRenamed("id", "message_id")
 
 
+def p2_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces of each message: no text lost, none too long, no overlap too long, all numbered."""
+    cores = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(piece, core - start + 1)").alias("t")))), lambda x: x["t"]), "")
+    rows = p2_pieces(spark, folder).groupBy("message_id").agg(
+        F.sum(F.col("end") - F.col("core")).cast("int").alias("chars"), (F.max(F.length("piece")) <= LIMIT).alias("fits"), (F.max(F.col("core") - F.col("start")) <= OVERLAP).alias("overlaps"), (F.max("piece_no") + 1 == F.count("*")).alias("numbered"), F.md5(cores).alias("digest")
+    )
+    return rows.select("message_id", "chars", "fits", "overlaps", "numbered", "digest")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     found = chunking.split(long_messages(spark, folder), "text", ["id"], LIMIT, OVERLAP, with_text=False)
     return found.where("piece_no = 0").select(F.col("id").alias("message_id"), "boundary")
@@ -115,11 +124,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns by session and part, parted at gaps of inactivity longer than the calibrated one."""
-    rows = conversation_rows(spark, folder).select("session_id", "id", "created_at")
-    seconds = conversations.calibrated_gap(conversations.gap_histogram(rows, "session_id", "id", ["created_at"], "created_at"))
-    split = conversations.split_at_gaps(rows, "session_id", "id", ["created_at"], "created_at", seconds)
-    return split.select("session_id", "id", F.col("part").cast("int").alias("part"), F.lit(seconds).alias("gap_seconds"))
+    """The turns of conversations parted at gaps of inactivity longer than the calibrated one, roles inferred where they are missing."""
+    rows = written(conversation_rows(spark, folder), "rows")
+    order = ["display_order", "created_at"]
+    seconds = conversations.calibrated_gap(conversations.gap_histogram(rows, "session_id", "id", "role", order, "created_at"))
+    kept = conversations.conversations(rows, "session_id", "id", "role", order, "usable", "created_at", seconds, infer=True)
+    return kept.withColumn("gap_seconds", F.lit(seconds))
 
 
 def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,6 +196,17 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of each packing: every document whole and once, no box over its capacity, only what is larger divided."""
+    done = []
+    for box, capacity, p in packed_documents(spark, folder):
+        docs = p.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"), F.max("part").alias("last"), F.sum("size").alias("size"))
+        items = docs.agg(F.count("*").alias("documents"), F.coalesce(F.bool_and(F.expr(f"n = parts AND n = last + 1 AND n = greatest(1, ceil(size / {capacity}))")), F.lit(True)).alias("whole"))
+        fits = packing.fill(p, capacity).select((F.coalesce("fullest", F.lit(0)) <= capacity).alias("fits"))
+        done.append(items.join(F.broadcast(fits), F.lit(True)).select(F.lit(box).alias("box_size"), "documents", "whole", "fits"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Documents drawn, with their copies."""
     return mixing.mix(document_tokens(spark, folder), "doc_id", "source", "tokens", table(spark, folder, "mix_targets"))
@@ -196,8 +217,18 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, folder), "source", "tokens", table(spark, folder, "mix_targets"))
 
 
+def p8_caps(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of each source: no record above the cap on repeats, none drawn in two rows, none unknown, shares that add up."""
+    targets = table(spark, folder, "mix_targets").where("source IS NOT NULL").select("source", "max_repeats")
+    mixed = written(p8_mix(spark, folder), "mixed")
+    got = mixed.groupBy("source").agg(F.max("copies").alias("most"), (F.count("*") == F.count_distinct("doc_id")).alias("once"))
+    strange = mixed.join(table(spark, folder, "documents").select("doc_id", "source"), ["doc_id", "source"], "left_anti").groupBy("source").agg(F.count("*").alias("strange"))
+    rows = targets.join(got, "source", "left").join(strange, "source", "left")
+    return rows.select("source", "max_repeats", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), F.coalesce("once", F.lit(True)).alias("once"), F.col("strange").isNull().alias("known"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text", 200).withColumnRenamed("shared", "shared_chars")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_gaps": p3_gaps, "p4_found": p4_found, "p4_segments": p4_segments, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_tiling": p2_tiling, "p3_found": p3_found, "p3_gaps": p3_gaps, "p4_found": p4_found, "p4_segments": p4_segments, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_whole": p7_whole, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_caps": p8_caps, "p9_found": p9_found}

@@ -13,20 +13,39 @@ from parlance.llm import mixing, packing, spans
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=20), st.sampled_from([40, 64]))
 def test_plan_uses_every_item_once(histogram, capacity):
     used = {}
-    for sizes, n in packing.plan(dict(histogram), capacity):
-        assert n > 0 and sum(sizes) <= capacity
-        for s in sizes:
-            used[s] = used.get(s, 0) + n
+    for content, n in packing.plan(dict(histogram), capacity):
+        assert n > 0 and sum(s * k for s, k in content) <= capacity
+        for s, k in content:
+            used[s] = used.get(s, 0) + n * k
     assert used == histogram
 
 
 def test_plan_fills_exactly():
-    assert packing.plan({6: 2, 4: 2}, 10) == [((6, 4), 2)]
-    assert packing.plan({5: 1, 3: 1, 2: 1}, 10) == [((5, 3, 2), 1)]
+    assert packing.plan({6: 2, 4: 2}, 10) == [(((6, 1), (4, 1)), 2)]
+    assert packing.plan({5: 1, 3: 1, 2: 1}, 10) == [(((5, 1), (3, 1), (2, 1)), 1)]
+    assert packing.plan({4: 1, 3: 2, 2: 3}, 12) == [(((4, 1), (3, 2), (2, 1)), 1), (((2, 2),), 1)]
     boxes = packing.plan({s: 50 for s in range(1, 257)}, 256)
     assert sum(s * 50 for s in range(1, 257)) / (256 * sum(n for _, n in boxes)) > 0.99
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=12), st.integers(1, 30), st.integers(1, 30))
+def test_complements_are_found_if_there_are_any(histogram, gap, own):
+    """Against every choice of at most three items."""
+    from itertools import combinations
+
+    left = np.zeros(64, np.int64)
+    for s, n in histogram.items():
+        left[s] = n
+    left[own] += 1
+    items = [s for s, n in histogram.items() for _ in range(n)]
+    want = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(items, k))
+    found = packing.Sums(left).find(gap, own)
+    assert (found is not None) == want
+    if found:
+        assert sum(found) == gap and all(found.count(s) <= histogram.get(s, 0) for s in found)
+
+
 def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, 7 if i < 60 else rng.randrange(0, 90)) for i in range(200)] + [(900, None)]

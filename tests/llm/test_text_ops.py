@@ -138,19 +138,22 @@ def test_conversations(spark):
         ("s7", "o", "user", 1, True), ("s7", "p", "assistant", 1, True), ("s8", "q", "system", 1, True),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "channel string, node string, role string, o int, ok boolean, turn_no string")
-    got = sorted(map(tuple, conversations.conversations(df, "channel", "node", "role", ["o"], "ok").collect()))
+    got = sorted(map(tuple, conversations.conversations(df, "channel", "node", "role", ["o"], "ok").drop("part").collect()))
     assert got == [("s1", 1, "a", "user"), ("s1", 2, "b", "assistant"), ("s7", 1, "o", "user"), ("s7", 2, "p", "assistant")]
     assert conversations.conversations(df.limit(0), "channel", "node", "role", ["o"], "ok").count() == 0
 
 
 def test_gaps(spark):
-    rows = [("s", str(i), f"2024-01-01 00:00:{i:02}") for i in range(5)] + [("s", str(i), f"2024-01-03 00:00:{i:02}") for i in range(5, 9)] + [("t", "z", None)]
-    df = spark.createDataFrame(rows, "c string, n string, ts string").withColumn("ts", F.to_timestamp("ts"))
-    seconds = conversations.calibrated_gap(conversations.gap_histogram(df, "c", "n", ["ts"], "ts"))
-    assert 1 < seconds < 86_400
-    parts = {r["n"]: r["part"] for r in conversations.split_at_gaps(df, "c", "n", ["ts"], "ts", seconds).collect()}
-    assert parts == {str(i): int(i >= 5) for i in range(9)} | {"z": 0}
-    assert conversations.calibrated_gap(conversations.gap_histogram(df.limit(1), "c", "n", ["ts"], "ts")) == float("inf")
+    roles = ["user", "assistant", "user", None, "User ", "assistant", "user", "assistant"]
+    rows = [("s", str(i), roles[i], f"2024-01-0{1 + 2 * (i // 4)} 00:00:{i:02}") for i in range(8)]
+    rows += [("t", "z", "user", None), ("u", "x", "user", "2024-01-01 00:00:00"), ("u", "y", None, "2024-01-01 00:00:09"), ("u", "w", "user", "2024-01-09 00:00:00")]
+    df = spark.createDataFrame(rows, "c string, n string, r string, ts string").withColumn("ts", F.to_timestamp("ts")).withColumn("ok", F.lit(True))
+    seconds = conversations.calibrated_gap(conversations.gap_histogram(df, "c", "n", "r", ["ts"], "ts"))
+    assert 9 < seconds < 86_400
+    got = sorted(map(tuple, conversations.conversations(df, "c", "n", "r", ["ts"], "ok", "ts", seconds, infer=True).collect()))
+    assert got == [("s", p, k + 1, str(4 * p + k), ("user", "assistant")[k % 2]) for p in range(2) for k in range(4)] + [("u", 0, 1, "x", "user"), ("u", 0, 2, "y", "assistant")]
+    assert conversations.conversations(df, "c", "n", "r", ["ts"], "ok", "ts", seconds).where("c = 's' AND part = 0").count() == 0
+    assert conversations.calibrated_gap(conversations.gap_histogram(df.limit(1), "c", "n", "r", ["ts"], "ts")) == float("inf")
 
 
 def test_by_length_band():
