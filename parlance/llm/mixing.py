@@ -52,7 +52,7 @@ def mix(records: DataFrame, node: str, source: str, size: str, targets: DataFram
     names = sorted(rate)
     scaled = {s: int(rate[s] * UNIT) for s in names}
     known = F.broadcast(spark.createDataFrame([(s, scaled[s], int(draw.random() * UNIT)) for s in names], "source string, rate bigint, offset bigint"))
-    placed = positions(own.join(known, "source"), ["source"], [F.xxhash64("node"), F.col("node")], "nth")
+    placed = positions(own.join(known, "source"), ["source"], [F.col("size"), F.xxhash64("node"), F.col("node")], "nth")
     rate_, unit = F.col("rate").cast("decimal(18,0)"), F.lit(UNIT).cast("decimal(18,0)")
     until = F.col("nth").cast("decimal(18,0)") * rate_ + F.col("offset").cast("decimal(18,0)")
     copies = F.floor(until / unit).cast("bigint") - F.floor((until - rate_) / unit).cast("bigint")
