@@ -209,20 +209,39 @@ def date_label(day: Column, today: Column) -> Column:
     return F.when(n == 0, "today").when(n == 1, "yesterday").when(n.between(2, 3), F.concat(n.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(day, "EEEE"))
 
 
-def docx_markdown(xml: Column) -> Column:
-    """Plain markdown of a document part: paragraphs by newlines, tabs and breaks kept, deletions and tags dropped."""
-    c = F.regexp_replace(xml, "(?s)<w:del[ >].*?</w:del>", "")
-    c = F.regexp_replace(c, "</w:p>", "\n\n")
-    c = F.regexp_replace(c, "<w:br[^>]*/>", "\n")
-    c = F.regexp_replace(c, "<w:tab[^>]*/>", "\t")
-    c = unescape_xml(F.regexp_replace(c, "<[^>]+>", ""))
-    c = F.regexp_replace(c, "INCLUDEPICTURE\\s+\"([^\"]+)\"", "![]($1)")
-    c = F.regexp_replace(c, "HYPERLINK\\s+\"([^\"]+)\"", "[$1]($1)")
-    return F.regexp_replace(c, "\\\\\\*\\s*MERGEFORMAT(?:INET)?", "")
+def unescape_html(c: Column) -> Column:
+    """The named entities that text processors write, the ampersand last, so that nothing is unescaped twice."""
+    return _replaced(c, (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#34;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")))
+
+
+def without_deletions(xml: Column) -> Column:
+    """Without tracked deletions."""
+    return F.regexp_replace(xml, "(?s)<w:del\\b[^>]*>.*?</w:del>", "")
+
+
+def word_fields(c: Column) -> Column:
+    """Picture and link fields of Word as markdown; what trails them is dropped."""
+    c = F.regexp_replace(c, "(?i)INCLUDEPICTURE\\s+\"([^\"]+)\"", "\n\n![]($1)\n\n")
+    c = F.regexp_replace(c, "(?i)HYPERLINK\\s+\"([^\"]+)\"", "\n[$1]($1)\n")
+    return F.regexp_replace(c, "(?i)\\s*\\*?\\s*MERGEFORMAT\\w*", "")
 
 
 def collapsed_lines(c: Column) -> Column:
-    """White space of each line collapsed; blank lines part paragraphs."""
-    paragraphs = F.split(c, "\\n\\s*\\n")
-    tidy = F.transform(paragraphs, lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), lambda x: trimmed(F.regexp_replace(x, "(?U)\\s+", " "))), lambda x: x != ""), "\n"))
-    return F.array_join(F.filter(tidy, lambda p: p != ""), "\n\n")
+    """White space of each line collapsed; paragraphs, parted by an empty line, without outer white space; blank ones dropped."""
+    lines = F.transform(F.split(c, "\n\n"), lambda p: F.transform(F.split(trimmed(p), "\n"), lambda x: trimmed(F.regexp_replace(x, "(?U)\\s+", " "))))
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.array_join(x, "\n")), lambda p: p != ""), "\n\n")
+
+
+def docx_markdown(xml: Column) -> Column:
+    """Plain markdown of a document part: paragraphs by empty lines, tabs and breaks kept, deletions and tags dropped, fields as markdown."""
+    c = F.replace(without_deletions(xml), F.lit("</w:p>"), F.lit("\n\n"))
+    c = F.regexp_replace(F.regexp_replace(c, "<w:(br|cr) ?/>", "\n"), "<w:tab ?/>", "\t")
+    c = unescape_html(trimmed(strip_tags(c)))
+    return trimmed(collapsed_lines(word_fields(collapsed_lines(c))))
+
+
+def converter_cleaned(md: Column) -> Column:
+    """Markdown of a converter without images, footnote marks, quote marks of text boxes and tags; at most one empty line in a row."""
+    c = F.regexp_replace(md, "(?i)<img\\b[^>]*/?>", "")
+    c = F.regexp_replace(F.regexp_replace(c, "(?i)<sup>[^<]*</sup>", ""), "(?m)^> ?", "")
+    return F.regexp_replace(F.regexp_replace(c, "</?[a-zA-Z][^>]*>", ""), "\n{3,}", "\n\n")

@@ -1,49 +1,76 @@
-"""Greedy batches of ordered items, as folds inside the JVM.
+"""Greedy batches of ordered items.
 
-Greedy filling is sequential in one document and parallel across documents; the fold's state is one document's array.
+Greedy filling is sequential in one document and parallel across documents. The folds run in Arrow batches over arrays of
+sizes, in time linear in the items; texts themselves never leave the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def batch_numbers(sizes: Column, limit: int, separator: int = 1, empties_ride: bool = True) -> Column:
-    """Batch number of each item of an array of sizes, from 0.
+def numbers(sizes: list[int], limit: int, separator: int = 1, empties_ride: bool = True) -> list[int]:
+    """Batch number of each size, from 0.
 
     An item joins while the running size, with a separator between items, stays within the limit; it is never divided.
     Empty items ride along without closing or charging a batch, yet count as members for the next separator.
     """
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("used"), F.lit(False).alias("any"), F.array().cast("array<int>").alias("out"))
+    out, batch, used, any_ = [], 0, 0, False
+    for size in sizes:
+        if not (empties_ride and size == 0):
+            more = size + (separator if any_ else 0)
+            if used + more <= limit:
+                used += more
+            else:
+                batch, used = batch + any_, size
+        any_ = True
+        out.append(batch)
+    return out
 
-    def step(s: Column, size: Column) -> Column:
-        add = size.cast("bigint") + F.when(s["any"], separator).otherwise(0)
-        rides = (size == 0) if empties_ride else F.lit(False)
-        fits = rides | (s["used"] + add <= limit)
-        batch = F.when(fits | ~s["any"], s["batch"]).otherwise(s["batch"] + 1).cast("int")
-        used = F.when(rides, s["used"]).when(fits, s["used"] + add).otherwise(size.cast("bigint"))
-        return F.struct(batch.alias("batch"), used.alias("used"), F.lit(True).alias("any"), F.concat(s["out"], F.array(batch)).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+def segment_numbers(sizes: list[int], alone: list[bool], limit: int = 5_000, most: int = 30) -> list[int]:
+    """Batch number of each segment: within limit and count; one marked `alone` closes the batch before and its own."""
+    out, batch, used, n, closed = [], -1, 0, 0, True
+    for size, own in zip(sizes, alone, strict=True):
+        if closed or own or used + size > limit or n >= most:
+            batch, used, n = batch + 1, 0, 0
+        used, n, closed = used + size, n + 1, own
+        out.append(batch)
+    return out
 
 
-def segment_batch_numbers(segments: Column, limit: int = 5_000, most: int = 30) -> Column:
-    """Batch number of each (size, is_html): within limit and count; an HTML segment stands alone."""
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("out"))
+def _fold(one: Callable[..., list[int]], *columns: Column) -> Column:
+    """A fold of whole arrays, each once, in Arrow batches; NULL stays NULL."""
+
+    def run(*parts: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else np.array(one(*(x.tolist() for x in row)), np.int32) for row in zip(*parts, strict=True)], dtype=object)
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["closed"] | x["is_html"] | (s["used"] + x["size"] > limit) | (s["n"] >= most)
-        batch = (s["batch"] + F.when(fresh, 1).otherwise(0)).cast("int")
-        return F.struct(
-            batch.alias("batch"),
-            (F.when(fresh, 0).otherwise(s["used"]) + x["size"]).cast("bigint").alias("used"),
-            (F.when(fresh, 0).otherwise(s["n"]) + 1).cast("int").alias("n"),
-            x["is_html"].alias("closed"),
-            F.concat(s["out"], F.array(batch)).alias("out"),
-        )
+    if len(columns) == 1:
 
-    return F.aggregate(segments, start, step, lambda s: s["out"])
+        def single(a: pd.Series) -> pd.Series:
+            return run(a)
+
+        return F.pandas_udf(single, "array<int>")(*columns)
+
+    def double(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    return F.pandas_udf(double, "array<int>")(*columns)
+
+
+def batch_numbers(sizes: Column, limit: int, separator: int = 1, empties_ride: bool = True) -> Column:
+    """`numbers` of an array of sizes."""
+    return _fold(lambda x: numbers(x, limit, separator, empties_ride), sizes)
+
+
+def segment_batch_numbers(segments: Column, limit: int = 5_000, most: int = 30) -> Column:
+    """`segment_numbers` of an array of (size, is_html)."""
+    return _fold(lambda x, y: segment_numbers(x, y, limit, most), F.transform(segments, lambda x: x["size"]), F.transform(segments, lambda x: x["is_html"]))
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,16 +87,12 @@ def batched(df: DataFrame, key: str, text: str, limit: int, separator: int = 1)
 
 def thinned(percents: Column, step: int = 5) -> Column:
     """Those percents that lie at least `step` above the one emitted before."""
-    start = F.struct(F.lit(-1_000).alias("last"), F.array().cast("array<int>").alias("out"))
-
-    def fold(s: Column, p: Column) -> Column:
-        emit = p >= s["last"] + step
-        return F.struct(F.when(emit, p).otherwise(s["last"]).cast("int").alias("last"), F.when(emit, F.concat(s["out"], F.array(p.cast("int")))).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(percents, start, fold, lambda s: s["out"])
 
+    def one(values: list[int]) -> list[int]:
+        out: list[int] = []
+        for p in values:
+            if not out or p >= out[-1] + step:
+                out.append(p)
+        return out
 
-def hard_pieces(text: Column, n: int) -> Column:
-    """Pieces of n code points without outer white space; empty ones are left out."""
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(text) / n).cast("int") - 1)), lambda i: F.trim(F.substring(text, i * n + 1, F.lit(n))))
-    return F.filter(parts, lambda x: x != "")
+    return _fold(one, percents)

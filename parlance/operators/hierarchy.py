@@ -55,8 +55,8 @@ def decompose(edges: DataFrame) -> Hierarchy:
     roots = edges.where("up IS NOT NULL").select(F.col("up").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
     base = written(edges.unionByName(roots.withColumn("up", F.lit(None).cast(dict(edges.dtypes)["up"]))), "edges")
 
-    # jump: the ancestor `step` steps up, NULL beyond the root; far: steps known to lie above; below: nodes less than `step` steps below, itself included
-    state = written(base.select("node", F.col("up").alias("jump"), F.col("node").alias("top"), F.lit(0).cast("long").alias("far"), F.lit(1).cast("long").alias("below")), "jumps")
+    # jump: the ancestor `step` steps up, NULL beyond the root; below: nodes less than `step` steps below, itself included
+    state = written(base.select("node", F.col("up").alias("jump"), F.lit(1).cast("long").alias("below")), "jumps")
     open_before, image_before = -1, -1
     while True:
         now = state.where("jump IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("jump").alias("image")).first()
@@ -69,7 +69,10 @@ def decompose(edges: DataFrame) -> Hierarchy:
         open_before, image_before = now["n"], now["image"]
         gains = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("node")).agg(F.sum("below").alias("gain"))
         nxt = state.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"))
-        state = _replace(state, state.join(nxt, "jump", "left").join(gains, "node", "left").select("node", F.col("jump2").alias("jump"), "top", "far", (F.col("below") + F.coalesce("gain", F.lit(0))).alias("below")), "jumps")
+        # nodes past their root stay out of the join on jump: they would all meet on one key
+        ahead = state.where("jump IS NOT NULL").join(nxt, "jump", "left").select("node", F.col("jump2").alias("jump"), "below")
+        done = state.where("jump IS NULL").select("node", "jump", "below")
+        state = _replace(state, ahead.unionByName(done).join(gains, "node", "left").select("node", "jump", (F.col("below") + F.coalesce("gain", F.lit(0))).alias("below")), "jumps")
 
     if loops is None:
         circles = base.select("node", F.col("node").alias("circle"), F.lit(False).alias("on_circle")).where(F.lit(False))
@@ -85,7 +88,8 @@ def decompose(edges: DataFrame) -> Hierarchy:
     chain = written(sized.select("node").join(heavy, "node", "left").select("node", "jump", F.coalesce("jump", "node").alias("head"), F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long").alias("place")), "chains")
     while chain.where("jump IS NOT NULL").limit(1).count():
         nxt = chain.select(F.col("node").alias("head"), F.col("jump").alias("jump2"), F.col("head").alias("head2"), F.col("place").alias("place2"))
-        chain = _replace(chain, chain.join(nxt, "head", "left").select("node", F.when(F.col("jump").isNotNull(), F.col("jump2")).alias("jump"), F.coalesce("head2", "head").alias("head"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place")), "chains")
+        ahead = chain.where("jump IS NOT NULL").join(nxt, "head", "left").select("node", F.col("jump2").alias("jump"), F.coalesce("head2", "head").alias("head"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place"))
+        chain = _replace(chain, ahead.unionByName(chain.where("jump IS NULL")), "chains")
     body = written(sized.join(chain.select("node", "head", "place"), "node"), "bodies")
     forget(chain)
     forget(sized)
@@ -150,11 +154,20 @@ def paths(labels: DataFrame) -> DataFrame:
     return labels.join(solved, "head").join(segments, "head").select("node", F.concat("prefix", F.slice("members", F.lit(1), (F.col("place") + 1).cast("int"))).alias("path"))
 
 
-def descendants(labels: DataFrame, of: DataFrame) -> DataFrame:
-    """(node, below, steps): every descendant of each node of `of` (column node), read off the preorder intervals of its tree."""
-    top = labels.join(of.select("node"), "node", "left_semi").where("size > 1").select(F.col("node").alias("node"), "root", F.col("first").alias("a"), "size", F.col("depth").alias("d0"))
-    low = labels.select(F.col("node").alias("below"), "root", "first", "depth")
-    return top.join(low, "root").where("first > a AND first < a + size").select("node", "below", (F.col("depth") - F.col("d0")).alias("steps"))
+def descendants(labels: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node, below, steps): every descendant of each node, or of those of `of` (column node), read off the preorder intervals.
+
+    An interval is the union of at most two blocks of each power of two, and a place lies in one block of each; so intervals
+    and places meet in blocks, and no tree is a single key however large it is.
+    """
+    top = labels if of is None else labels.join(of.select("node"), "node", "left_semi")
+    largest = labels.agg(F.max("size")).first()[0] or 1
+    levels = F.sequence(F.lit(0), F.lit(int(largest).bit_length()))
+    wide = top.where("size > 1").select("node", "root", (F.col("first") + 1).alias("lo"), (F.col("first") + F.col("size")).alias("hi"), F.col("depth").alias("d0"), F.explode(levels).alias("l"))
+    edges = wide.withColumns({"lo": F.expr("shiftright(lo + shiftleft(1L, l) - 1, l)"), "hi": F.expr("shiftright(hi, l)")}).where("lo < hi")
+    blocks = edges.select("node", "root", "d0", "l", F.explode(F.filter(F.array(F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)), lambda x: x.isNotNull())).alias("block"))
+    low = labels.where("depth > 0").select(F.col("node").alias("below"), "root", "depth", "first", F.explode(levels).alias("l")).withColumn("block", F.expr("shiftright(first, l)"))
+    return blocks.join(low, ["root", "l", "block"]).select("node", "below", (F.col("depth") - F.col("d0")).alias("steps"))
 
 
 def opened(edges: DataFrame, circles: DataFrame) -> DataFrame:
@@ -163,12 +176,6 @@ def opened(edges: DataFrame, circles: DataFrame) -> DataFrame:
     return edges.join(circles, "node").select("node", F.when(~cut, F.col("up")).alias("up"))
 
 
-def _lines(labels: DataFrame) -> DataFrame:
-    """(node, below, at, steps): every node on the path of every node `below`, itself included, `at` steps below the root."""
-    spread = paths(labels).select(F.col("node").alias("below"), F.size("path").alias("n"), F.posexplode("path").alias("at", "node"))
-    return spread.select("node", "below", F.col("at").cast("long").alias("at"), (F.col("n") - 1 - F.col("at")).cast("long").alias("steps"))
-
-
 def all_descendants(labels: DataFrame, around: DataFrame, circles: DataFrame) -> DataFrame:
     """(node, below, steps): every descendant of every node, as many rows as there are pairs.
 
@@ -176,12 +183,13 @@ def all_descendants(labels: DataFrame, around: DataFrame, circles: DataFrame) ->
     each of its nodes: what the cut leaves out are the nodes of the circle deeper than the one where a path enters it.
     """
     ring = written(around.join(circles.where("on_circle").select("node"), "node").select("node", "root", F.col("depth").alias("q")), "ring")
-    lines = written(_lines(around), "lines")
-    entry = lines.join(ring.select("node"), "node").groupBy("below").agg(F.max("at").alias("p"))
+    pairs = written(descendants(around), "pairs")
+    own = around.select("node", F.col("node").alias("below"))
+    entry = pairs.select("node", "below").unionByName(own).join(ring.select("node", "q"), "node").groupBy("below").agg(F.max("q").alias("p"))
     last = ring.groupBy("root").agg(F.count("*").alias("k"))
     low = around.select(F.col("node").alias("below"), "root", "depth").join(entry, "below").join(last, "root")
     over = low.join(ring, "root").where("q > p").select("node", "below", (F.col("depth") + F.col("k") - F.col("q")).alias("steps"))
-    return _lines(labels).unionByName(lines).where("steps > 0").select("node", "below", "steps").unionByName(over)
+    return descendants(labels).unionByName(pairs).unionByName(over)
 
 
 def rooted(hierarchy: Hierarchy) -> DataFrame:

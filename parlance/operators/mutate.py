@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parlance.operators.ranking import positions
+
 
 def insert_or_ignore(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows whose key is unknown, the first of repeated ones, are added."""
+    """New rows whose key is unknown are added; of rows that repeat a key any one."""
     first = new.dropDuplicates(keys)
     return base.unionByName(first.join(base.select(*keys), keys, "left_anti"))
 
@@ -55,3 +57,10 @@ def check_violations(df: DataFrame, key: str, checks: dict[str, Column]) -> Data
 
 def unique_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def insert_numbered(base: DataFrame, new: DataFrame, group: str, number: str, order: list[Column]) -> DataFrame:
+    """new with `number` counting on from the greatest in its group; groups may hold any share of the rows. NULL groups are left out."""
+    most = base.where(F.col(group).isNotNull()).groupBy(group).agg(F.max(number).alias("__most"))
+    placed = positions(new.where(F.col(group).isNotNull()), [group], order, "__at")
+    return placed.join(most, group, "left").withColumn(number, F.col("__at") + F.coalesce("__most", F.lit(0))).drop("__at", "__most")

@@ -15,11 +15,15 @@ def matches(c: Column, query: str) -> Column:
     return F.instr(ascii_lower(c), query.translate(_ASCII_LOWER)) > 0
 
 
+def hit(query: str) -> Column:
+    """A message that holds the query in either text."""
+    return F.coalesce(matches(F.col("original_content"), query), F.lit(False)) | F.coalesce(matches(F.col("translated_content"), query), F.lit(False))
+
+
 def search(messages: DataFrame, sessions: DataFrame, query: str, most: int = 50) -> DataFrame:
     """Newest hits in sessions neither deleted nor archived; a blank query finds nothing. Ties go by id."""
     open_ = sessions.where(~F.col("status").isin("deleted", "archived")).select(F.col("id").alias("session_id"), F.col("title").alias("session_title"))
-    hit = matches(F.col("original_content"), query) | F.coalesce(matches(F.col("translated_content"), query), F.lit(False))
-    found = messages.where(F.lit(query.strip() != "") & hit).join(open_, "session_id").orderBy(F.desc("created_at"), "id").limit(most)
+    found = messages.where(F.lit(query.strip() != "") & hit(query)).join(open_, "session_id").orderBy(F.desc("created_at"), "id").limit(most)
     shown = F.when(F.coalesce("translated_content", F.lit("")) != "", F.col("translated_content")).otherwise(F.coalesce("original_content", F.lit("")))
     return found.select(F.col("id").alias("message_id"), "session_id", "session_title", "role", search_snippet(shown, query).alias("snippet"), "created_at")
 

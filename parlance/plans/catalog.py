@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.plans import hierarchy_queries, workspace, workspace_sql
+from parlance.plans import files, files_sql, hierarchy_queries, workspace, workspace_sql
 
-QUERIES = workspace.QUERIES | hierarchy_queries.QUERIES
-ORACLE = workspace_sql.ORACLE | hierarchy_queries.ORACLE
+QUERIES = workspace.QUERIES | files.QUERIES | hierarchy_queries.QUERIES
+ORACLE = workspace_sql.ORACLE | files_sql.ORACLE | hierarchy_queries.ORACLE

@@ -23,20 +23,6 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("node").alias("message_id"), F.col("root").alias("root_id"), "depth")
 
 
-def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Full path, depth, root and number of descendants of every node of a tree of messages."""
-    labels = written(H.decompose(message_links(spark, folder)).labels, "labels")
-    return labels.join(H.paths(labels), "node").select(
-        F.col("node").alias("message_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.array_join("path", "/").alias("path"), (F.col("size") - 1).alias("descendants")
-    )
-
-
-def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every (message, descendant, steps) under the messages that themselves have no parent, by preorder intervals."""
-    labels = written(H.decompose(message_links(spark, folder)).labels, "labels")
-    return H.descendants(labels, labels.where("depth = 0")).select(F.col("node").alias("message_id"), F.col("below").alias("descendant_id"), F.col("steps").cast("int").alias("steps"))
-
-
 def message_trees(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labels of the trees, labels of the opened circles, and the circles."""
     links = message_links(spark, folder)
@@ -66,7 +52,7 @@ def p5_messages(spark: SparkSession, folder: str) -> DataFrame:
     return found.unionByName(alone).select(F.col("node").alias("message_id"), F.col("root").alias("root_id"), "depth", "path", "descendants")
 
 
-QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants, "p5_pairs": p5_pairs, "p5_messages": p5_messages}
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p5_messages": p5_messages}
 
 _CURRENT = """
 WITH RECURSIVE cur AS (
@@ -99,16 +85,6 @@ ring AS (SELECT node FROM reach WHERE node = spot)
 SELECT w.node AS message_id, w.root AS root_id, CAST(w.depth AS INTEGER) AS depth FROM walk w WHERE w.node IN (SELECT node FROM edges)
 UNION ALL
 SELECT node, min(spot), -1 FROM reach WHERE spot IN (SELECT node FROM ring) GROUP BY node
-""",
-    "p5_paths": _CURRENT
-    + """
-SELECT w.node AS message_id, w.root AS root_id, CAST(w.depth AS INTEGER) AS depth, w.path,
-  (SELECT count(*) FROM walk d WHERE d.root = w.root AND starts_with(d.path, w.path || '/')) AS descendants
-FROM walk w
-""",
-    "p5_descendants": _CURRENT
-    + """
-SELECT root AS message_id, node AS descendant_id, CAST(depth AS INTEGER) AS steps FROM walk WHERE depth > 0
 """,
     "p5_pairs": _CURRENT
     + _PAIRS

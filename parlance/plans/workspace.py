@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parlance.functions import text as X
 from parlance.operators import batching, glossary, markers, mutate, reading, regions, render
@@ -17,9 +18,16 @@ SEARCHED = "lease"
 TODAY = "2026-06-30"
 
 
-def current(spark: SparkSession, folder: str, name: str, columns: str) -> DataFrame:
-    """Latest versions of a keyed table with the given columns."""
-    return current_rows(table(spark, folder, name), {c: F.col(c) for c in columns.split()})
+def current(spark: SparkSession, folder: str, name: str, columns: str, keep: Column | None = None) -> DataFrame:
+    """Latest versions of a keyed table with the given columns; of those that `keep` marks, if given."""
+    return current_rows(table(spark, folder, name), {c: F.col(c) for c in columns.split()}, keep=keep)
+
+
+def stated_files(spark, folder, columns):
+    """Current files, of which every fifth has failed and every fifth is cancelled."""
+    f = current(spark, folder, "files", f"{columns} file_size".replace("file_size file_size", "file_size"))
+    n = F.col("file_size") % 5
+    return f.withColumns({"status": F.when(n == 0, "error").when(n == 1, "cancelled").otherwise(F.col("status"))} | ({"error_msg": F.when(n == 0, "failed").otherwise(F.col("error_msg"))} if "error_msg" in columns.split() else {}))
 
 
 def messages(spark, folder, columns):
@@ -29,17 +37,31 @@ def messages(spark, folder, columns):
 def hot_session(spark, folder, columns):
     """Messages of the session with most rows; the session is found on one narrow column."""
     ids = table(spark, folder, "messages").groupBy("session_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "session_id").limit(1).select("session_id")
-    return messages(spark, folder, f"session_id {columns}").join(ids, "session_id", "left_semi")
+    # ids of the session first, in any version, then the versions of those alone
+    m = table(spark, folder, "messages")
+    own = m.join(ids, "session_id", "left_semi").select("id").distinct()
+    rows = current_rows(m.join(own, "id", "left_semi"), {c: F.col(c) for c in f"session_id {columns}".split()})
+    return rows.join(ids, "session_id", "left_semi")
 
 
 def search_messages(spark, folder):
-    m = messages(spark, folder, "session_id role original_content translated_content created_at")
+    # only hits travel with their texts
+    m = current(spark, folder, "messages", "session_id role original_content translated_content created_at", keep=reading.hit(SEARCHED))
     return reading.search(m, current(spark, folder, "sessions", "title status"), SEARCHED)
 
 
+def search_blank(spark, folder):
+    """A blank query finds nothing; the sum over no rows."""
+    m = messages(spark, folder, "session_id role original_content translated_content created_at")
+    return reading.search(m, current(spark, folder, "sessions", "title status"), "  ").agg(F.count("*").alias("hits"))
+
+
 def sessions_sorted(spark, folder):
     s = current(spark, folder, "sessions", "title status updated_at").where(~F.col("status").isin("deleted", "archived"))
-    return s.orderBy(F.when(F.col("status") == "pinned", 0).otherwise(1), F.desc("updated_at"), "id")
+    # the first hundred with their places, so that the order itself is part of the result
+    top = s.withColumn("rest", F.when(F.col("status") == "pinned", 0).otherwise(1)).orderBy("rest", F.desc("updated_at"), "id").limit(100)
+    place = F.row_number().over(Window.orderBy("rest", F.desc("updated_at"), "id"))
+    return top.withColumn("place", place).drop("rest")
 
 
 def messages_page_first(spark, folder):
@@ -60,7 +82,7 @@ def message_with_file_size(spark, folder):
 
 
 def cancelled_files(spark, folder):
-    return current(spark, folder, "files", "session_id status").where("status = 'cancelled'").select("id", "session_id")
+    return stated_files(spark, folder, "session_id status").where("status = 'cancelled'").select("id", "session_id")
 
 
 def next_display_order(spark, folder):
@@ -85,8 +107,9 @@ def quoted_message_join(spark, folder):
 
 
 def search_hit_remap(spark, folder):
-    m = messages(spark, folder, "session_id display_order created_at role original_content").withColumn("hit", F.coalesce(reading.matches(F.col("original_content"), SEARCHED), F.lit(False)))
-    rows = reading.with_neighbours(reading.numbered(m.drop("original_content"), ["role", "hit"]), [], ["id", "role"])
+    hit = F.coalesce(reading.matches(F.col("original_content"), SEARCHED), F.lit(False))
+    m = current_rows(table(spark, folder, "messages"), {c: F.col(c) for c in ("session_id", "display_order", "created_at", "role")} | {"hit": hit})
+    rows = reading.with_neighbours(reading.numbered(m, ["role", "hit"]), [], ["id", "role"])
     user = (F.lower(F.trim("role")) == "user") & (F.lower(F.trim("next_role")) == "assistant")
     return rows.where("hit").select("id", F.when(user, F.col("next_id")).otherwise(F.col("id")).alias("shown_id"))
 
@@ -134,7 +157,7 @@ def insert_or_ignore(spark, folder):
 
 
 def update_by_key(spark, folder):
-    f = current(spark, folder, "files", "status error_msg")
+    f = stated_files(spark, folder, "status error_msg").drop("file_size")
     changes = f.where("status = 'error'").select("id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_msg"))
     return mutate.update_by_key(f, changes, "id", ["status", "error_msg"])
 
@@ -146,7 +169,7 @@ def clear_tag_update(spark, folder):
 
 
 def delete_rows(spark, folder):
-    return mutate.delete_where(current(spark, folder, "files", "status"), F.col("status").isin("cancelled", "error")).select("id")
+    return mutate.delete_where(stated_files(spark, folder, "status"), F.col("status").isin("cancelled", "error")).select("id")
 
 
 def delete_cascade(spark, folder):
@@ -155,7 +178,7 @@ def delete_cascade(spark, folder):
 
 
 def delete_set_null(spark, folder):
-    f = current(spark, folder, "files", "status").where("NOT (status <=> 'cancelled')")
+    f = stated_files(spark, folder, "status").where("NOT (status <=> 'cancelled')")
     return mutate.set_null(messages(spark, folder, "file_id"), "file_id", f, "id").select("id", "file_id")
 
 
@@ -247,13 +270,19 @@ def _lines(spark, folder):
     return batching.lines_of(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _marked_lines(spark, folder):
+    """Lines of which every fourth is a bullet and every fourth a row of a table with an empty column."""
+    n, line = F.col("idx") % 4, F.col("line")
+    return _lines(spark, folder).withColumn("line", F.when(n == 1, F.concat(F.lit("• "), line)).when(n == 2, F.concat(F.lit("| "), line, F.lit(" | |"))).otherwise(line))
+
+
 def heading_level(spark, folder):
     return _lines(spark, folder).select("doc_id", "idx", X.heading_level(F.col("line")).alias("level")).where("level > 0")
 
 
 def bullet_normalize(spark, folder):
     out = X.bullet(F.col("line"))
-    return _lines(spark, folder).select("doc_id", "idx", out.alias("line"), F.col("line").alias("was")).where("line <> was").drop("was")
+    return _marked_lines(spark, folder).select("doc_id", "idx", out.alias("line"), F.col("line").alias("was")).where("line <> was").drop("was")
 
 
 def markdown_likeness(spark, folder):
@@ -278,7 +307,8 @@ def truncate_runes(spark, folder):
 
 def session_title(spark, folder):
     s = current(spark, folder, "sessions", "title")
-    return s.select("id", X.session_title(F.col("title"), F.lit("# First line\nsecond")).alias("title"))
+    titled = F.when(F.length("title") % 3 != 0, F.col("title"))
+    return s.select("id", X.session_title(titled, F.concat(F.lit("## About "), "title", F.lit("\nsecond"))).alias("title"))
 
 
 def content_title(spark, folder):
@@ -306,7 +336,8 @@ def file_titles(spark, folder):
 
 
 def attachment_names(spark, folder):
-    return messages(spark, folder, "original_content").where(F.col("original_content").startswith("📎")).select("id", X.attachment_name(F.col("original_content")).alias("name"))
+    c = F.col("original_content")
+    return current_rows(table(spark, folder, "messages"), {"name": X.attachment_name(c)}, keep=c.startswith("📎"))
 
 
 def date_label(spark, folder):
@@ -315,11 +346,14 @@ def date_label(spark, folder):
 
 
 def refusal_filter(spark, folder):
-    return messages(spark, folder, "translated_content").where(X.is_refusal(F.col("translated_content"))).select("id")
+    return current_rows(table(spark, folder, "messages"), {"refused": F.lit(True)}, keep=X.is_refusal(F.col("translated_content"))).select("id")
 
 
 def json_salvage(spark, folder):
-    raw = F.concat(F.lit('Sure: {"doc_type": "'), F.coalesce("doc_type", F.lit("")), F.lit('", "summary": "s'), F.col("doc_id").cast("string"), F.lit('"} done'))
+    """Answers around a JSON object; every third breaks off inside it, every fifth has none."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    whole = F.concat(F.lit('Sure: {"doc_type": "'), F.coalesce("doc_type", F.lit("")), F.lit('", "summary": "s'), F.col("doc_id").cast("string"), F.lit('"} done'))
+    raw = F.when(n % 5 == 0, "none").when(n % 3 == 0, F.substring(whole, 1, 20)).otherwise(whole)
     parsed = F.from_json(X.json_body(raw), "doc_type string, summary string")
     return table(spark, folder, "documents").select("doc_id", F.coalesce(parsed["doc_type"], F.lit("")).alias("kind"), F.coalesce(parsed["summary"], F.lit("")).alias("summary"))
 
@@ -343,8 +377,10 @@ def segment_batches(spark, folder):
 
 
 def batch_offsets(spark, folder):
-    """First item of every batch: batch sizes summed before it, which is the number of items ahead."""
-    return paragraph_batches(spark, folder).groupBy("doc_id", "batch").agg(F.min("idx").cast("int").alias("first"), F.count("*").alias("items"))
+    """First item of every batch: the sizes of the batches before it, summed up. The window is one document's batches."""
+    sizes = paragraph_batches(spark, folder).groupBy("doc_id", "batch").agg(F.count("*").alias("items"))
+    before = Window.partitionBy("doc_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("first", F.coalesce(F.sum("items").over(before), F.lit(0)).cast("int"))
 
 
 def marker_encode(spark, folder):
@@ -412,7 +448,7 @@ def block_filters(spark, folder):
 
 
 def table_cells(spark, folder):
-    rows = _lines(spark, folder).where(F.col("line").contains("|"))
+    rows = _marked_lines(spark, folder).where(F.col("line").contains("|"))
     return rows.select("doc_id", "idx", F.posexplode(regions.cells(X.trimmed(F.col("line")))).alias("col", "cell"))
 
 
@@ -462,7 +498,7 @@ def external_map_stub(spark, folder):
     return messages(spark, folder, "target_lang original_content").where("original_content <> ''").select("id", F.md5(F.concat(F.lit("["), F.coalesce("target_lang", F.lit("")), F.lit("] "), F.col("original_content"))).alias("digest"))
 
 
-_NAMES = """search_messages sessions_sorted messages_page_first messages_page_cursor messages_page_has_more message_with_file_size cancelled_files
+_NAMES = """search_messages search_blank sessions_sorted messages_page_first messages_page_cursor messages_page_has_more message_with_file_size cancelled_files
 next_display_order prev_next_message date_separators quoted_message_join search_hit_remap sessions_by_day pinned_partition page_union_dedup
 page_upsert_last_wins settings_upsert settings_map_defaults insert_or_ignore update_by_key clear_tag_update delete_rows delete_cascade delete_set_null
 check_violations unique_violations migration_recode glossary_for_file glossary_match_or_insert active_rules active_rules_join doc_type_title_case

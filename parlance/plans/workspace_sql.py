@@ -49,8 +49,10 @@ fold AS (
 
 
 _T = _trim("line")
+_STATED = f"(SELECT * REPLACE (CASE WHEN file_size % 5 = 0 THEN 'error' WHEN file_size % 5 = 1 THEN 'cancelled' ELSE status END AS status, CASE WHEN file_size % 5 = 0 THEN 'failed' ELSE error_msg END AS error_msg) FROM {FL})"
+_MARKED = f"(SELECT doc_id, idx, CASE WHEN idx % 4 = 1 THEN '• ' || line WHEN idx % 4 = 2 THEN '| ' || line || ' | |' ELSE line END AS line FROM {_LINES})"
 _UP = f"(length(regexp_replace({_T}, '[^\\p{{L}}]', '', 'g')) >= 10 AND length(regexp_replace({_T}, '[^\\p{{Lu}}]', '', 'g')) >= 0.82 * length(regexp_replace({_T}, '[^\\p{{L}}]', '', 'g')))"
-_CELLS = f"(SELECT doc_id, idx, CAST(unnest(range(len(c))) AS INTEGER) AS col, {_trim('unnest(c)')} AS cell FROM (SELECT doc_id, idx, string_split(regexp_replace({_T}, '^\\|+|\\|+$', '', 'g'), '|') AS c FROM {_LINES} WHERE contains(line, '|')))"
+_CELLS = f"(SELECT doc_id, idx, CAST(unnest(range(len(c))) AS INTEGER) AS col, {_trim('unnest(c)')} AS cell FROM (SELECT doc_id, idx, string_split(regexp_replace({_T}, '^\\|+|\\|+$', '', 'g'), '|') AS c FROM {_MARKED} WHERE contains(line, '|')))"
 
 ORACLE = {
     "search_messages": f"""
@@ -58,7 +60,8 @@ SELECT m.id AS message_id, m.session_id, s.title AS session_title, m.role, {_sni
 FROM {M} m JOIN {S} s ON s.id = m.session_id
 WHERE s.status NOT IN ('deleted', 'archived') AND (instr({_LOWER.format('m.original_content')}, 'lease') > 0 OR instr({_LOWER.format('m.translated_content')}, 'lease') > 0)
 ORDER BY m.created_at DESC, m.id LIMIT 50""",
-    "sessions_sorted": f"SELECT id, title, status, updated_at FROM {S} WHERE status NOT IN ('deleted', 'archived')",
+    "sessions_sorted": f"SELECT id, title, status, updated_at, CAST(row_number() OVER (ORDER BY CASE WHEN status = 'pinned' THEN 0 ELSE 1 END, updated_at DESC NULLS LAST, id) AS INTEGER) AS place FROM {S} WHERE status NOT IN ('deleted', 'archived') QUALIFY place <= 100",
+    "search_blank": "SELECT 0 AS hits",
     "messages_page_first": f"SELECT id, display_order, role FROM {HOT} ORDER BY display_order DESC NULLS LAST, id LIMIT 20",
     "messages_page_cursor": f"SELECT id, display_order, role FROM {HOT} WHERE display_order < 500 ORDER BY display_order DESC, id LIMIT 60",
     "messages_page_has_more": f"""
@@ -66,7 +69,7 @@ WITH top AS (SELECT display_order AS o FROM {HOT} ORDER BY display_order DESC NU
 SELECT CAST(count(*) AS INTEGER) AS n, CASE WHEN count(*) = 20 AND EXISTS (SELECT 1 FROM {HOT} WHERE display_order < (SELECT min(o) FROM top)) THEN min(o) ELSE 0 END AS next_cursor,
   count(*) = 20 AND EXISTS (SELECT 1 FROM {HOT} WHERE display_order < (SELECT min(o) FROM top)) AS has_more FROM top""",
     "message_with_file_size": f"SELECT m.id, m.file_id, coalesce(f.file_size, 0) AS file_size FROM {M} m LEFT JOIN {FL} f ON f.id = m.file_id",
-    "cancelled_files": f"SELECT id, session_id FROM {FL} WHERE status = 'cancelled'",
+    "cancelled_files": f"SELECT id, session_id FROM {_STATED} WHERE status = 'cancelled'",
     "next_display_order": f"SELECT session_id, coalesce(max(display_order), 0) + 1 AS next_order FROM {M} WHERE session_id IS NOT NULL GROUP BY 1",
     "prev_next_message": f"SELECT id, CASE WHEN lower(trim(prev_role)) = 'user' THEN prev_id END AS prev_user_id, CASE WHEN lower(trim(next_role)) = 'assistant' THEN next_id END AS next_assistant_id FROM {ORDERED}",
     "date_separators": f"SELECT id, CAST(created_at AS DATE) IS DISTINCT FROM CAST(prev_at AS DATE) AS separator FROM {ORDERED}",
@@ -81,11 +84,11 @@ FROM {M} m LEFT JOIN (SELECT id, {_trim(f"regexp_replace(original_content, '{_WS
     "settings_upsert": "SELECT * FROM (VALUES ('model', 'standard'), ('target_lang', 'vi'), ('style', 'casual'), ('theme', 'dark')) t(key, value)",
     "settings_map_defaults": "SELECT 'standard' AS model, 'business' AS style, 'light' AS theme",
     "insert_or_ignore": "SELECT id FROM doc_types UNION SELECT doc_type FROM glossary_entries WHERE doc_type IS NOT NULL",
-    "update_by_key": f"SELECT id, CASE WHEN status = 'error' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'error' THEN NULL ELSE error_msg END AS error_msg FROM {FL}",
+    "update_by_key": f"SELECT id, CASE WHEN status = 'error' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'error' THEN NULL ELSE error_msg END AS error_msg FROM {_STATED}",
     "clear_tag_update": "SELECT id, CASE WHEN current_file_name LIKE '%.docx' THEN NULL ELSE current_file_name END AS current_file_name FROM glossary_entries",
-    "delete_rows": f"SELECT id FROM {FL} WHERE status IS NULL OR status NOT IN ('cancelled', 'error')",
+    "delete_rows": f"SELECT id FROM {_STATED} WHERE status IS NULL OR status NOT IN ('cancelled', 'error')",
     "delete_cascade": f"SELECT id, session_id FROM {M} WHERE session_id IS NULL OR session_id IN (SELECT id FROM {S} WHERE status <> 'deleted')",
-    "delete_set_null": f"SELECT m.id, f.id AS file_id FROM {M} m LEFT JOIN {FL} f ON f.id = m.file_id AND f.status IS DISTINCT FROM 'cancelled'",
+    "delete_set_null": f"SELECT m.id, f.id AS file_id FROM {M} m LEFT JOIN {_STATED} f ON f.id = m.file_id AND f.status IS DISTINCT FROM 'cancelled'",
     "check_violations": f"""
 SELECT id, 'role' AS rule FROM {M} WHERE NOT coalesce(role IN ('user', 'assistant'), false)
 UNION ALL SELECT id, 'mode' FROM {M} WHERE NOT coalesce(display_mode IN ('bubble', 'bilingual', 'file'), false)
@@ -119,13 +122,15 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)[{VIETNAMESE_ONLY}]') THEN 'v
 SELECT * FROM (SELECT doc_id, idx, CAST(CASE WHEN length({_T}) < 4 THEN 0 WHEN regexp_matches({_T}, '^\\d+\\.\\d+\\.\\d+\\.?\\s+\\S') THEN 4 WHEN regexp_matches({_T}, '^\\d+\\.\\d+\\.?\\s+\\S') THEN 3
   WHEN regexp_matches({_T}, '^\\d+\\.\\s+\\S') OR regexp_matches({_T}, '^({ROMAN})\\.\\s+\\S') OR regexp_matches({_T}, '(?i)^({SECTION_WORDS})\\s+') THEN 2
   WHEN {_UP} AND length({_T}) BETWEEN 12 AND 360 THEN 2 ELSE 0 END AS INTEGER) AS level FROM {_LINES}) WHERE level > 0""",
-    "bullet_normalize": f"SELECT doc_id, idx, '- ' || {_trim("regexp_replace(line, '^[•+]\\s+', '')")} AS line FROM {_LINES} WHERE regexp_matches(line, '^[•+]\\s+')",
+    "bullet_normalize": f"SELECT doc_id, idx, '- ' || {_trim("regexp_replace(line, '^[•+]\\s+', '')")} AS line FROM {_MARKED} WHERE regexp_matches(line, '^[•+]\\s+')",
     "markdown_likeness": "SELECT doc_id, coalesce(contains(text, '##') OR regexp_matches(text, '(?m)^\\s*##? ') OR len(string_split(text, '**')) > 2 OR (contains(text, '![') AND contains(text, '](')), false) AS markdown FROM documents",
     "strip_tags": "SELECT doc_id, md5(regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g')) AS plain FROM documents",
     "escape_html": f"SELECT doc_id, md5({_escape('text', True)}) AS html FROM documents",
     "escape_xml": f"SELECT doc_id, md5({_escape('text', False)}) AS xml, text = replace(replace(replace(replace(replace({_escape('text', False)}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', '''') AS same FROM documents",
     "truncate_runes": "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS short FROM documents",
-    "session_title": f"SELECT id, CASE WHEN coalesce({_trim('title')}, '') = '' THEN 'First line' WHEN length({_trim('title')}) > 80 THEN substr({_trim('title')}, 1, 80) || '…' ELSE {_trim('title')} END AS title FROM {S}",
+    "session_title": f"""
+WITH t AS (SELECT id, CASE WHEN length(title) % 3 <> 0 THEN {_trim('title')} END AS t, {_trim("regexp_replace(split_part('## About ' || title, chr(10), 1), '^#+', '')")} AS c FROM {S})
+SELECT id, CASE WHEN coalesce(t, '') <> '' THEN CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '…' ELSE t END WHEN c IS NULL THEN 'Phiên dịch' WHEN length(c) > 50 THEN substr(c, 1, 50) || '…' ELSE c END AS title FROM t""",
     "content_title": f"""
 WITH a AS (SELECT doc_id, coalesce({_trim('text')}, '') AS t FROM documents), b AS (SELECT doc_id, t, {_trim("split_part(t, chr(10), 1)")} AS f FROM a),
 c AS (SELECT doc_id, t, CASE WHEN starts_with(f, '#') THEN {_trim("regexp_replace(f, '^#+', '')")} ELSE f END AS f FROM b)
@@ -140,7 +145,9 @@ SELECT doc_id, CASE WHEN t = '' THEN 'Phiên dịch' WHEN length(f) > 50 THEN su
 SELECT id, CASE WHEN n = 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n BETWEEN 2 AND 3 THEN n || ' days ago' ELSE dayname(d) END AS label
 FROM (SELECT id, CAST(updated_at AS DATE) AS d, date_diff('day', CAST(updated_at AS DATE), DATE '2026-06-30') AS n FROM {S} WHERE updated_at IS NOT NULL)""",
     "refusal_filter": f"SELECT id FROM {M} WHERE regexp_matches(lower({_trim('translated_content')}), '^(i''m sorry, but i cannot|i''m sorry, i cannot|i''m unable to|i cannot assist|i can''t help with that|sorry, but i cannot|i cannot provide|i''m not able to|as an ai)')",
-    "json_salvage": "SELECT doc_id, coalesce(doc_type, '') AS kind, 's' || doc_id AS summary FROM documents",
+    "json_salvage": """
+SELECT doc_id, CASE WHEN length(coalesce(text, '')) % 5 = 0 OR length(coalesce(text, '')) % 3 = 0 THEN '' ELSE coalesce(doc_type, '') END AS kind,
+  CASE WHEN length(coalesce(text, '')) % 5 = 0 OR length(coalesce(text, '')) % 3 = 0 THEN '' ELSE 's' || doc_id END AS summary FROM documents""",
     "paragraph_batches": _greedy(1) + " SELECT doc_id, idx, n, CAST(batch AS INTEGER) AS batch FROM fold",
     "xlsx_batches": _greedy(0) + " SELECT doc_id, idx, n, CAST(batch AS INTEGER) AS batch FROM fold",
     "batch_offsets": _greedy(1) + " SELECT doc_id, CAST(batch AS INTEGER) AS batch, min(idx) AS first, count(*) AS items FROM fold GROUP BY doc_id, batch",

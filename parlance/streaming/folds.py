@@ -6,7 +6,7 @@ text; usage counts if it came, otherwise tokens are estimated from the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.functions.text import token_estimate
+from parlance.operators.ranking import positions
 
 OUTPUT = "stream_id string, status string, text string, tokens int"
 _STATE = "body string, used bigint, status string"
@@ -57,8 +58,57 @@ def fold_stream(events: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame, job: str, order: str, total: str) -> DataFrame:
-    """(job, done, percent) after each completion. Jobs are small groups; the window is one job's completions."""
-    from pyspark.sql.window import Window
+    """(job, done, percent) after each completion; a job may hold any share of the rows."""
+    placed = positions(events.select(job, order, total), [job], [F.col(order)], "done")
+    return placed.withColumn("percent", F.floor(F.col("done") * 100 / F.col(total)).cast("int"))
 
-    done = F.row_number().over(Window.partitionBy(job).orderBy(order))
-    return events.select(job, order, total, done.alias("done")).withColumn("percent", F.floor(F.col("done") * 100 / F.col(total)).cast("int"))
+
+#: What ends a stream, by precedence where several come at once.
+ENDS = ("cancel", "error", "done")
+
+
+def retries(events: DataFrame) -> DataFrame:
+    """(stream_id, again): whether a stream that fails may be tried again: only if no chunk was sent before its first error."""
+    first = lambda kind: F.min(F.when(F.col("type") == kind, F.col("seq")))
+    found = events.groupBy("stream_id").agg(first("error").alias("e"), first("chunk").alias("c"))
+    return found.select("stream_id", (F.col("e").isNotNull() & (F.col("c").isNull() | (F.col("c") > F.col("e")))).alias("again"))
+
+
+def states(events: DataFrame) -> DataFrame:
+    """(stream_id, state, chunks, last_seq): idle, pending before the first chunk, streaming, or what the first end made of it.
+
+    What comes after the first end doesn't count. Only counts and places are folded, so streams of any length are summed in parts.
+    """
+    ends = F.col("type").isin(*ENDS)
+    rank = F.array_position(F.array(*[F.lit(x) for x in ENDS]), F.col("type"))
+    first = events.where(ends).groupBy("stream_id").agg(F.min(F.struct("seq", rank.alias("rank"), F.col("type").alias("end"))).alias("x")).select("stream_id", F.col("x.seq").alias("until"), F.col("x.end").alias("end"))
+    live = events.join(first, "stream_id", "left").where(F.col("until").isNull() | (F.col("seq") <= F.col("until")))
+    found = live.groupBy("stream_id").agg(F.count_if(F.col("type") == "chunk").alias("chunks"), F.max("seq").alias("last_seq"), F.max("end").alias("end"))
+    state = F.when(F.col("end") == "cancel", "cancelled").when(F.col("end") == "error", "error").when(F.col("end") == "done", "idle").when(F.col("chunks") > 0, "streaming").otherwise("pending")
+    return found.select("stream_id", state.alias("state"), "chunks", "last_seq")
+
+
+def coalesced(events: DataFrame, size: int) -> DataFrame:
+    """(stream_id, flush, chunks, bytes): the chunks of a stream in flushes of at least `size` bytes: the flush of a chunk is
+    the number of whole sizes sent before it. A stream may hold any share of the rows."""
+    chunks = events.where("type = 'chunk'").select("stream_id", "seq", F.octet_length(F.coalesce("content", F.lit(""))).cast("bigint").alias("bytes"))
+    placed = positions(chunks, ["stream_id"], [F.col("seq")], "through", weight=F.col("bytes"))
+    return placed.groupBy("stream_id", F.floor((F.col("through") - F.col("bytes")) / size).alias("flush")).agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"))
+
+
+def upsert_sink(folder: str, key: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch's latest rows replace those of their key in a parquet table of versions.
+
+    Every batch writes the next version beside the last and is skipped if it is there already, so a repeated batch changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        path = lambda n: f"{folder}/version={n}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path(number)}/_SUCCESS")
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return
+        rows = batch if number == 0 else spark.read.parquet(path(number - 1)).join(batch.select(key), key, "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(path(number))
+
+    return write
