@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parlance.functions import display as D
@@ -11,7 +12,7 @@ from parlance.operators.versions import current_rows
 from parlance.plans.workspace import _documents, _lines, current, glossary_for_file, hot_session, messages, regions_from_markdown, rules, stream_events
 from parlance.operators import reading
 from parlance.session import shared_folder, written
-from parlance.sources import sinks
+from parlance.sources import office, sinks
 from parlance.sources.tables import table
 from parlance.streaming import folds
 
@@ -358,7 +359,42 @@ def stream_flushes(spark, folder):
     return folds.coalesced(stream_events(spark, folder), 40)
 
 
-_NAMES = """file_by_id session_lookup pdf_scan_info page_texts converter_cleanup ocr_pages ocr_first_pages ocr_preview file_dispatch insert_rows
+def _texts(spark, folder):
+    return table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), "text")
+
+
+def _rich_docx(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: office.make_rich_docx(t.split("\n"), "Head & " + t[:5].strip() + ".", "Boxed"))
+
+
+def _rich_xlsx(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: office.make_rich_xlsx(t.split("\n"), 'Tab "1" & more'))
+
+
+def docx_parts(spark, folder):
+    """Documents with headers, fields, deletions and text boxes, read back."""
+    files = _texts(spark, folder).select("path", F.pandas_udf(_rich_docx, "binary")("text").alias("content"))
+    return office.read_docx(files).select("path", "part", "idx", F.md5("text").alias("digest"))
+
+
+def docx_translated(spark, folder):
+    """The same with every second paragraph replaced, written and read back."""
+    files = written(_texts(spark, folder).select("path", F.pandas_udf(_rich_docx, "binary")("text").alias("content")), "docx")
+    texts = office.read_docx(files).where("idx % 2 = 0").select("path", "part", "idx", F.concat(F.lit("<"), "text", F.lit(">")).alias("text"))
+    return office.read_docx(office.write_docx(files, texts)).select("path", "part", "idx", F.md5("text").alias("digest"))
+
+
+def xlsx_translated(spark, folder):
+    """Workbooks with plain strings and such of several runs, every string with letters replaced, written and read back."""
+    files = written(_texts(spark, folder).select("path", F.pandas_udf(_rich_xlsx, "binary")("text").alias("content")), "xlsx")
+    texts = office.read_xlsx(files).where("translatable").select("path", "idx", F.concat(F.lit("<"), "text", F.lit(">")).alias("text"))
+    names = office.read_sheets(files).select("path", "name", F.concat("name", F.lit("!")).alias("text"))
+    done = written(office.write_xlsx(files, texts, names), "xlsx")
+    strings = office.read_xlsx(done).select("path", "idx", F.md5("text").alias("digest"))
+    return strings.unionByName(office.read_sheets(done).select("path", (-F.col("idx") - 1).alias("idx"), F.md5("name").alias("digest")))
+
+
+_NAMES = """docx_parts docx_translated xlsx_translated file_by_id session_lookup pdf_scan_info page_texts converter_cleanup ocr_pages ocr_first_pages ocr_preview file_dispatch insert_rows
 insert_numbered_messages insert_select_filtered publish_tables log_lines validation_flags region_translations translated_html zip_paragraphs
 bilingual_pairs translatable_chars region_counts glossary_line_counts sessions_of_day page_ascending names_in_order prepend_session
 cross_page_tables table_columns docx_whitespace docx_plain html_unescape keyword_marks footer_time lang_labels style_and_model

@@ -58,7 +58,22 @@ sent AS (SELECT id, side, block, CAST(unnest(range(len(s))) AS INTEGER) AS sente
 
 _LIVE = "lower(status) NOT IN ('deleted', 'archived')"
 
+def _docx(translated: bool) -> str:
+    text = "CASE WHEN idx % 2 = 0 THEN '<' || t || '>' ELSE t END" if translated else "t"
+    return f"""
+WITH d AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS idx, line AS t FROM {_LINES} WHERE {_T} <> ''),
+n AS (SELECT doc_id, CAST(count(d.idx) AS INTEGER) AS n FROM documents LEFT JOIN d USING (doc_id) WHERE text IS NOT NULL GROUP BY 1),
+a AS (SELECT doc_id, 'word/document.xml' AS part, idx, t FROM d UNION ALL SELECT doc_id, 'word/document.xml', n, 'Boxed' FROM n
+  UNION ALL SELECT doc_id, 'word/header1.xml', 0, 'Head & ' || {_trim('substr(text, 1, 5)')} || '.' FROM documents WHERE text IS NOT NULL)
+SELECT CAST(doc_id AS VARCHAR) AS path, part, idx, md5({text}) AS digest FROM a"""
+
+
 ORACLE = {
+    "docx_parts": _docx(False),
+    "docx_translated": _docx(True),
+    "xlsx_translated": f"""
+SELECT CAST(doc_id AS VARCHAR) AS path, idx, md5(CASE WHEN regexp_matches(line, '\\p{{L}}') THEN '<' || line || '>' ELSE line END) AS digest FROM {_LINES}
+UNION ALL SELECT CAST(doc_id AS VARCHAR), -1, md5('Tab "1" & more!') FROM documents WHERE text IS NOT NULL""",
     "file_by_id": f"SELECT id, file_name, status FROM {FL} WHERE id = (SELECT min(id) FROM files)",
     "session_lookup": f"SELECT id, title, status FROM {S} WHERE id = (SELECT min(id) FROM sessions) AND status IN ('active', 'pinned')",
     "pdf_scan_info": """

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 PARAGRAPHS = "array<struct<part: string, idx: int, text: string>>"
 STRINGS = "array<struct<idx: int, text: string, translatable: boolean>>"
 _PART = re.compile(r"word/(document|header[^/]*|footer[^/]*)\.xml")
+_LOOK = re.compile(r"(?s)<rPr>(.*?)</rPr>")
+_SHEET = re.compile(r"(<sheet\b[^>]*?\bname=\")([^\"]*)(\")")
 _TOKEN = re.compile(rb"<(/?)w:([A-Za-z]+)\b[^>]*?(/?)>|<[^>]*>", re.S)
-#: Elements whose content is no text of the paragraph.
-_SKIPPED = {b"footnoteReference", b"endnoteReference", b"instrText", b"del", b"moveFrom", b"bookmarkStart", b"bookmarkEnd", b"proofErr"}
+# Elements whose content is no text of the paragraph; Fallback is cut out beforehand.
+_SKIPPED = {b"footnoteReference", b"footnoteRef", b"endnoteReference", b"endnoteRef", b"instrText", b"del", b"rPrChange", b"pPrChange", b"bookmarkStart", b"bookmarkEnd", b"commentReference"}
 _FALLBACK = re.compile(rb"<mc:Fallback\b.*?</mc:Fallback>", re.S)
 _ITEM, _RUN = re.compile(r"(?s)<si>(.*?)</si>|<si/>"), re.compile(r"(?s)<t(?:\s[^>]*)?>(.*?)</t>")
 _ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
@@ -134,19 +136,32 @@ def xlsx_strings(content: bytes) -> list[dict]:
 
 def sheet_names(content: bytes) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return [unescaped(x) for x in re.findall(r"<sheet\b[^>]*?\bname=\"([^\"]*)\"", z.read("xl/workbook.xml").decode("utf-8"))]
+        return [unescaped(m[2]) for m in _SHEET.finditer(z.read("xl/workbook.xml").decode("utf-8"))]
 
 
-def translated_xlsx(content: bytes, texts: dict[int, str]) -> bytes:
+def translated_xlsx(content: bytes, texts: dict[int, str], names: dict[str, str] | None = None) -> bytes:
+    """The workbook with its strings rebuilt, in the look of their first run, and its sheets renamed; empty texts change nothing."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        xml = z.read("xl/sharedStrings.xml").decode("utf-8")
+        have = z.namelist()
+        strings = z.read("xl/sharedStrings.xml").decode("utf-8") if "xl/sharedStrings.xml" in have else ""
+        book = z.read("xl/workbook.xml").decode("utf-8")
     count = iter(range(10**9))
 
     def item(m: re.Match) -> str:
         k = next(count)
-        return f'<si><t xml:space="preserve">{escaped(texts[k])}</t></si>' if k in texts else m[0]
-
-    return rewritten(content, {"xl/sharedStrings.xml": _ITEM.sub(item, xml).encode("utf-8")})
+        text = texts.get(k) or "".join(unescaped(t) for t in _RUN.findall(m[1] or ""))
+        body = f'<t xml:space="preserve">{escaped(text)}</t>'
+        look = _LOOK.search(m[1] or "")
+        return f"<si><r><rPr>{look[1]}</rPr>{body}</r></si>" if look else f"<si>{body}</si>"
+
+    def sheet(m: re.Match) -> str:
+        new = (names or {}).get(unescaped(m[2]))
+        return m[1] + (escaped(new).replace('"', "&quot;") if new else m[2]) + m[3]
+
+    parts = {"xl/workbook.xml": _SHEET.sub(sheet, book).encode("utf-8")}
+    if strings:
+        parts["xl/sharedStrings.xml"] = _ITEM.sub(item, strings).encode("utf-8")
+    return rewritten(content, parts)
 
 
 def _docx_batch(content: pd.Series) -> pd.Series:
@@ -167,20 +182,91 @@ def read_xlsx(df: DataFrame) -> DataFrame:
     return df.select("path", F.inline(F.pandas_udf(_xlsx_batch, STRINGS)("content")))
 
 
-def make_docx(paragraphs: Iterable[str]) -> bytes:
-    """A minimal document, for fixtures and for plain exports."""
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escaped(p)}</w:t></w:r></w:p>' for p in paragraphs)
+def _sheets_batch(content: pd.Series) -> pd.Series:
+    return content.map(sheet_names)
+
+
+def read_sheets(df: DataFrame) -> DataFrame:
+    """(path, idx, name) of the sheets of each workbook."""
+    return df.select("path", F.posexplode(F.pandas_udf(_sheets_batch, "array<string>")("content")).alias("idx", "name"))
+
+
+def _write_docx_batch(content: pd.Series, texts: pd.Series) -> pd.Series:
+    def one(c: bytes, own) -> bytes:
+        return translated_docx(c, {(t["part"], t["idx"]): t["text"] for t in own} if own is not None else {})
+
+    return pd.Series([one(c, t) for c, t in zip(content, texts, strict=True)])
+
+
+def _write_xlsx_batch(content: pd.Series, texts: pd.Series, names: pd.Series) -> pd.Series:
+    rows = zip(content, texts, names, strict=True)
+    return pd.Series([translated_xlsx(c, {x["idx"]: x["text"] for x in t} if t is not None else {}, {x["name"]: x["text"] for x in n} if n is not None else {}) for c, t, n in rows])
+
+
+def write_docx(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, content): each document with the paragraphs of texts (path, part, idx, text) in their places; others stay as they are."""
+    own = texts.groupBy("path").agg(F.collect_list(F.struct("part", "idx", "text")).alias("texts"))
+    return files.join(own, "path", "left").select("path", F.pandas_udf(_write_docx_batch, "binary")("content", "texts").alias("content"))
+
+
+def write_xlsx(files: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(path, content): each workbook with the strings of texts (path, idx, text) and the sheets of names (path, name, text) renamed."""
+    own = texts.groupBy("path").agg(F.collect_list(F.struct("idx", "text")).alias("texts"))
+    titles = names.groupBy("path").agg(F.collect_list(F.struct("name", "text")).alias("names"))
+    return files.join(own, "path", "left").join(titles, "path", "left").select("path", F.pandas_udf(_write_xlsx_batch, "binary")("content", "texts", "names").alias("content"))
+
+
+def _archive(parts: dict[str, str]) -> bytes:
     target = io.BytesIO()
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as w:
-        w.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>')
-        w.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        for name, xml in parts.items():
+            w.writestr(name, xml)
     return target.getvalue()
 
 
+_TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>'
+_SPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+
+
+def make_rich_docx(paragraphs: Iterable[str], header: str, boxed: str) -> bytes:
+    """A document for fixtures with all that reading must see through: divided runs, fields, deletions, bookmarks, format
+    changes, a text box with its older twin, a header and notes."""
+
+    def runs(p: str) -> str:
+        half = len(p) // 2
+        field = '<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>HYPERLINK "x"</w:instrText></w:r>'
+        gone = '<w:del w:id="1"><w:r><w:delText>gone</w:delText><w:t>gone</w:t></w:r></w:del><w:bookmarkStart w:id="0" w:name="b"/><w:bookmarkEnd w:id="0"/>'
+        look = '<w:rPr><w:b/><w:rPrChange w:id="2"><w:rPr><w:t>old</w:t></w:rPr></w:rPrChange></w:rPr>'
+        return f'<w:r>{look}<w:t xml:space="preserve">{escaped(p[:half])}</w:t></w:r>{field}{gone}<w:r><w:t xml:space="preserve">{escaped(p[half:])}</w:t><w:footnoteReference w:id="3"/></w:r>'
+
+    box = f"<w:p><w:r><w:t>{escaped(boxed)}</w:t></w:r></w:p>"
+    drawing = f"<w:p><w:r><mc:AlternateContent><mc:Choice><w:txbxContent>{box}</w:txbxContent></mc:Choice><mc:Fallback><w:txbxContent>{box}</w:txbxContent></mc:Fallback></mc:AlternateContent></w:r></w:p>"
+    body = "".join(f"<w:p>{runs(p)}</w:p>" for p in paragraphs)
+    return _archive({
+        "[Content_Types].xml": _TYPES,
+        "word/document.xml": f'<?xml version="1.0"?><w:document {_SPACE}><w:body>{body}{drawing}</w:body></w:document>',
+        "word/header1.xml": f'<?xml version="1.0"?><w:hdr {_SPACE}><w:p><w:r><w:t>{escaped(header)}</w:t></w:r></w:p></w:hdr>',
+        "word/footnotes.xml": f'<?xml version="1.0"?><w:footnotes {_SPACE}><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnotes>',
+    })
+
+
+def make_rich_xlsx(strings: Iterable[str], sheet: str) -> bytes:
+    """A workbook for fixtures whose strings alternate between plain ones and such of two runs."""
+
+    def item(k: int, s: str) -> str:
+        half = len(s) // 2
+        return f"<si><t>{escaped(s)}</t></si>" if k % 2 else f'<si><r><rPr><b/></rPr><t xml:space="preserve">{escaped(s[:half])}</t></r><r><t xml:space="preserve">{escaped(s[half:])}</t></r></si>'
+
+    title = escaped(sheet).replace('"', "&quot;")
+    return _archive({"xl/workbook.xml": f'<workbook><sheets><sheet name="{title}" sheetId="1"/></sheets></workbook>', "xl/sharedStrings.xml": "<sst>" + "".join(item(k, s) for k, s in enumerate(strings)) + "</sst>"})
+
+
+def make_docx(paragraphs: Iterable[str]) -> bytes:
+    """A minimal document, for fixtures and for plain exports."""
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escaped(p)}</w:t></w:r></w:p>' for p in paragraphs)
+    return _archive({"[Content_Types].xml": _TYPES, "word/document.xml": f'<?xml version="1.0"?><w:document {_SPACE}><w:body>{body}</w:body></w:document>'})
+
+
 def make_xlsx(strings: Iterable[str]) -> bytes:
     """A minimal workbook with shared strings, for fixtures."""
-    target = io.BytesIO()
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as w:
-        w.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="Sheet1" sheetId="1"/></sheets></workbook>')
-        w.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>{escaped(s)}</t></si>" for s in strings) + "</sst>")
-    return target.getvalue()
+    return _archive({"xl/workbook.xml": '<workbook><sheets><sheet name="Sheet1" sheetId="1"/></sheets></workbook>', "xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{escaped(s)}</t></si>" for s in strings) + "</sst>"})
