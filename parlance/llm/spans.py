@@ -3,7 +3,7 @@
 Every window of `k` code points has a minimiser: the least of the hashes of its m-grams. Consecutive windows with one
 minimiser travel as one packed string to the bucket of that minimiser, so equal windows always meet in one bucket, where
 sorting finds the equal ones. Only strings whose minimiser occurs in two records travel at all; repeated strings travel
-once. Buckets too large for one task are counted window by window with partial aggregation instead.
+once. Buckets too large for one task are parted again by the minimisers of longer m-grams, at last by the windows themselves.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.session import forget, release, written
+from parlance.session import forget, written
 
 #: m-grams under the minimisers; a power of two.
 M = 64
 #: Windows hashed at a time, so that a text of any length fits in memory.
 SLICE = 1 << 19
-#: Code points of distinct strings that one bucket may hold before it is counted window by window.
+#: Code points of strings that one bucket may hold before it is parted by the minimisers of longer m-grams.
 BUCKET = 6_000_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -66,13 +66,13 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return h if length == w else np.minimum(h[: len(h) - (w - length)], h[w - length :])
 
 
-def super_kmers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(codes: np.ndarray, k: int, m: int = M, base: np.uint64 = _B1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, minimiser) of each run of windows with one minimiser."""
     starts, counts, minis = [], [], []
     windows = len(codes) - k + 1
     for a in range(0, max(0, windows), SLICE):
         b = min(windows, a + SLICE)
-        least = _least(window_hashes(codes[a : b + k - 1], M, _B1), k - M + 1)
+        least = _least(window_hashes(codes[a : b + k - 1], m, base), k - m + 1)
         edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         starts.append(edge + a)
         counts.append(np.diff(np.append(edge, b - a)))
@@ -253,21 +253,40 @@ def _in_buckets(distinct: DataFrame, k: int) -> DataFrame:
     return ready.mapInArrow(run, f"mini bigint, k1 bigint, k2 bigint, ranges {_RANGES}")
 
 
-def _by_window(distinct: DataFrame, k: int) -> DataFrame:
-    """As _in_buckets, for buckets of any size: windows are counted under two 64-bit hashes with partial aggregation."""
+def _finer(distinct: DataFrame, k: int, m: int) -> DataFrame:
+    """The strings parted by the minimisers of m-grams: (mini, k1, k2, off, mini2, s1, s2, sub, low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
         for b in batches:
             for i, s in enumerate(b.column(3).to_pylist()):
-                c = codes_of(s)
-                h1, h2 = window_hashes(c, k, _B1).view(np.int64), window_hashes(c, k, _B2).view(np.int64)
-                n = len(h1)
-                own = pa.array(np.full(n, i, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(x).take(own) for x in (0, 1, 2, 4, 5)] + [pa.array(np.arange(n, dtype=np.int32)), pa.array(h1), pa.array(h2)], names=["mini", "k1", "k2", "low", "high", "w", "h1", "h2"])
+                at, n, mini = super_kmers(codes_of(s), k, m, _B2)
+                for c in range(0, len(at), 20_000):
+                    subs = [s[x : x + y + k - 1] for x, y in zip(at[c : c + 20_000].tolist(), n[c : c + 20_000].tolist(), strict=True)]
+                    keys = np.frombuffer(b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in subs), dtype=np.int64).reshape(-1, 2)
+                    own = pa.array(np.full(len(subs), i, np.int32))
+                    columns = [b.column(x).take(own) for x in (0, 1, 2)] + [pa.array(at[c : c + 20_000].astype(np.int32)), pa.array(mini[c : c + 20_000]), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(subs, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns + [b.column(x).take(own) for x in (4, 5)], names=["mini", "k1", "k2", "off", "mini2", "s1", "s2", "sub", "low", "high"])
+
+    return distinct.select("mini", "k1", "k2", "packed", "low", "high").mapInArrow(run, "mini bigint, k1 bigint, k2 bigint, off int, mini2 bigint, s1 bigint, s2 bigint, sub string, low bigint, high bigint")
 
-    windows = distinct.select("mini", "k1", "k2", "packed", "low", "high").mapInArrow(run, "mini bigint, k1 bigint, k2 bigint, low bigint, high bigint, w int, h1 bigint, h2 bigint")
-    both = windows.groupBy("mini", "h1", "h2").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).where("lo < hi").select("mini", "h1", "h2")
-    return windows.join(both, ["mini", "h1", "h2"], "left_semi").groupBy("mini", "k1", "k2").agg(F.transform(F.collect_list("w"), lambda w: F.struct(w.alias("a"), (w + 1).alias("b"))).cast(_RANGES).alias("ranges"))
+
+def _settled(distinct: DataFrame, hot: DataFrame, k: int, bucket: int, finer: list[int]) -> DataFrame:
+    """(mini, k1, k2, ranges): buckets are sorted whole, the hot ones (mini) after they are parted by longer m-grams.
+
+    Minimisers of k-grams are the windows themselves, so the last parting leaves nothing large. Texts are compared at every level.
+    """
+    hot = written(hot.select("mini"), "hot")
+    if not finer or not hot.limit(1).count():
+        return _in_buckets(distinct, k)
+    parts = written(_finer(distinct.join(hot, "mini", "left_semi"), k, finer[0]), "finer")
+    subs = parts.groupBy(F.col("mini2").alias("mini"), F.col("s1").alias("k1"), F.col("s2").alias("k2")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("sub").alias("packed"))
+    sizes = parts.groupBy(F.col("mini2").alias("mini")).agg(F.sum(F.length("sub")).alias("size")).where(f"size > {bucket}")
+    found = _settled(subs, sizes, k, bucket, finer[1:]).select(F.col("mini").alias("mini2"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "ranges")
+    moved = parts.select("mini", "k1", "k2", "off", "mini2", "s1", "s2").join(found, ["mini2", "s1", "s2"]).select("mini", "k1", "k2", "off", F.explode("ranges").alias("r"))
+    back = moved.groupBy("mini", "k1", "k2").agg(F.collect_list(F.struct((F.col("off") + F.col("r.a")).alias("a"), (F.col("off") + F.col("r.b")).alias("b"))).cast(_RANGES).alias("ranges"))
+    return _in_buckets(distinct.join(hot, "mini", "left_anti"), k).unionByName(back)
 
 
 def shared_spans(df: DataFrame, node: str, text: str, k: int, bucket: int = BUCKET) -> DataFrame:
@@ -284,12 +303,10 @@ def shared_spans(df: DataFrame, node: str, text: str, k: int, bucket: int = BUCK
     marked = found.join(both, "mini")
     runs = marked.groupBy("node").agg(F.collect_list(F.struct("at", "n", "mini")).alias("runs"))
     parts = written(packed(own.join(runs, "node"), "node", "text", k), "packed")
-    hot = written(both.where(f"size > {bucket}").select("mini"), "hot")
-    del marked, runs, both
+    hot = written(both.where(f"size > {bucket}"), "hot")
     forget(found)
-    release(own.sparkSession)
     distinct = parts.groupBy("mini", "k1", "k2").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("packed").alias("packed"))
-    done = _in_buckets(distinct.join(hot, "mini", "left_anti"), k).unionByName(_by_window(distinct.join(hot, "mini", "left_semi"), k))
+    done = _settled(distinct, hot, k, bucket, [(M + k) // 2, k])
     places = parts.select("node", "at", "mini", "k1", "k2").join(done, ["mini", "k1", "k2"]).select("node", "at", F.explode("ranges").alias("r"))
     spans = places.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + k - 1).alias("b")))).alias("spans"))
     merged = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["sum"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("sum")), lambda s: s["sum"])
