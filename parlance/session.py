@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -53,12 +52,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing holds any more, as between the jobs of one query."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def forget(df: DataFrame) -> None:
     """Remove a table made by `written` that nothing reads any more."""
     spark = df.sparkSession

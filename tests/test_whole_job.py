@@ -1,11 +1,5 @@
-"""Queries and operators do the whole job: no node, language, path or long text is left out."""
+"""Operators do the whole job: no node is left out."""
 
-import inspect
-import random
-
-import numpy as np
-
-from parlance.llm import align, defects, langid
 from parlance.operators import hierarchy
 
 
@@ -26,50 +20,3 @@ def test_descendants_of_every_node(spark):
     got = [tuple(r) for r in hierarchy.all_descendants(h.labels, around, h.circles).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert ("b", "c", 1) in want and ("t1", "t2", 1) in want and ("c1", "t2", 4) in want
-
-
-def test_language_of_the_whole_text(spark):
-    model = langid.fit([("the house is red and the door is open", "en"), ("la maison est rouge et la porte est ouverte", "fr")] * 3)
-    text = "la maison est rouge\nla porte est ouverte\n" + "7" * 80 + "\nla maison"
-    assert [model.labels[k] for k in align.languages(model, [text, None])][0] == "fr"
-    rows = spark.createDataFrame([("the red house 4711\nthe open door 4712", "la maison rouge 4711\nla porte ouverte 4712\n" + "=" * 90)], "a string, b string")
-    got = {x for r in align.confident_pairs(rows, "a", "b", model).collect() for x in r["s"]}
-    assert align._id("fr house") in got and align._id("en house") not in got
-
-
-def test_length_programme_is_not_bound_to_a_band():
-    # the end lies outside a narrow band
-    for m in (17, 40, 400):
-        assert len(align.by_length([30], [30] * m)) <= 1
-        assert len(align.by_length([30] * m, [30])) <= 1
-    rng = random.Random(1)
-    for _ in range(60):
-        a = [rng.randint(1, 200) for _ in range(rng.randint(1, 60))]
-        at = rng.randrange(len(a))
-        # a block left out, and others added
-        b = [max(1, x + rng.randint(-5, 5)) for x in a[:at] + a[at + rng.randint(0, 40) :]] + [rng.randint(1, 200) for _ in range(rng.randint(0, 30))]
-        ratio = sum(b) / max(1, sum(a))
-        full, wide = align._banded([x * ratio for x in a], b, len(a) + len(b)), align.by_length(a, b)
-        i, j, want = len(a), len(b), []
-        while i or j:
-            di, dj = align.MOVES[full[1][i][j]]
-            want += [(i - 1, j - 1)] if di == dj else []
-            i, j = i - di, j - dj
-        assert b == [] or [(x, y) for x, y, _ in wide] == ([(0, 0)] if len(a) == len(b) == 1 else want[::-1])
-
-
-def test_translations_do_not_depend_on_tasks(spark):
-    assert align.ITERATIONS >= 4 and inspect.signature(defects.Judge.train).parameters["rounds"].default >= 400
-    rng = random.Random(2)
-    # each pair of words is faint in any one pair of sentences, many together aren't
-    pairs = [(list(range(120)), rng.sample(range(200, 230), 12)) for _ in range(40)]
-    df = spark.createDataFrame(pairs, "s array<int>, t array<int>")
-    one, many = align.train(df.coalesce(1), 3), align.train(df.repartition(40), 3)
-    assert len(one.keys) and one.keys.tolist() == many.keys.tolist() and np.allclose(one.probs, many.probs, atol=1e-4)
-
-
-def test_long_texts_train_the_table():
-    src = "\n".join(f"The house number {1000 + k} in Street {k % 7} is red and wide{k % 3}." for k in range(700))
-    tgt = "\n".join(f"La maison {1000 + k} de la Rue {k % 7} est rouge et large{k % 3}." for k in range(700))
-    pairs = align.confident(src, tgt, "fr")
-    assert len(pairs) > 600 and all(align._id("fr house") in s and align._id("maison") in t for s, t in pairs)
