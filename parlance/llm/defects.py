@@ -11,6 +11,7 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parlance.llm.align import Table, lexical_ids, token_set
+from parlance.llm.align import Parts, Table, lexical_ids, narrowed, tables, token_set
 from parlance.llm.langid import Model, Reading, sentence_languages
 from parlance.llm.refusals import DECLINES, FRAMES, OTHERWISE, Refusals, composed
 from parlance.llm.sentences import COUNTS, LETTER, nfc, pieces
@@ -108,13 +109,22 @@ def _may_hold(text: str, word: str) -> bool:
 class Judge:
     """Everything that judging a pair takes; picklable."""
 
-    def __init__(self, model: Model, refusals: Refusals, table: Table):
+    def __init__(self, model: Model, refusals: Refusals, table: Table | Parts | None):
         self.model, self.refusals, self.table = model, refusals, table
         self.emit, self.move = np.zeros((FEATURES, len(TAGS))), np.zeros((len(TAGS), len(TAGS)))
         self.stretch = np.ones(len(model.labels))
 
-    def features(self, pairs: list[tuple[str, str, str | None]]) -> tuple[np.ndarray, list[int], list[int], list[bool], np.ndarray]:
-        """(one row of features per counted sentence of all replies, sentences per reply, their lengths, whether they have letters, lengths of the prompts)."""
+    def apart(self) -> Judge:
+        """A copy without the table."""
+        out = copy(self)
+        out.table = None
+        return out
+
+    def features(self, pairs: list[tuple[str, str, str | None]], each: list[Table] | None = None) -> tuple[np.ndarray, list[int], list[int], list[bool], np.ndarray]:
+        """(one row of features per counted sentence of all replies, sentences per reply, their lengths, whether they have letters, lengths of the prompts).
+
+        `each` holds every pair's table, if they don't share one.
+        """
         labels = self.model.labels
         pairs = [(nfc(p), nfc(r), t) for p, r, t in pairs]
         read = Reading(self.model, [r for _, r, _ in pairs])
@@ -138,12 +148,12 @@ class Judge:
             ends = bool(_END.search(reply)) and not _DANGLING.search(reply)
             tail, head = 1.0, 0.0
             if asked and texts:
-                seen = Rendering(texts, labels[whole] if whole >= 0 else "", self.table)
+                seen = Rendering(texts, labels[whole] if whole >= 0 else "", each[k] if each else self.table)
                 tail = seen.share(prompt[asked[-1][0] : asked[-1][1]], 0.6)
                 if len(asked) > 1 and not closed and ends:
                     # the prompt itself breaks off, the reply doesn't: the last whole sentence will do
                     tail = max(tail, seen.share(prompt[asked[-2][0] : asked[-2][1]], 0.6))
-                head = max((seen.share(prompt[a:b], 0.5) for a, b in asked[:-1][:2]), default=0.0) if tail < 0.4 else 0.0
+                head = float(tail < 0.4 and any(seen.share(prompt[a:b], 0.5) >= 0.5 for a, b in asked[:-1]))
             long = size(reply.rstrip()) / max(1, size(prompt[: asked[-1][1]] if asked else "")) / (self.stretch[whole] if whole >= 0 else 1.0)
             known = number.get(target, -1)
             done = tail >= 0.6 and (ends or not closed and long >= 0.75) or ends and len(texts) >= len(asked)
@@ -181,7 +191,7 @@ class Judge:
             final, *(final & c for c in (
                 closed & ~ends, dangling > 0, tail < 0.2, (tail >= 0.2) & (tail < 0.4), (tail >= 0.4) & (tail < 0.6), tail >= 0.6, closed & ends, ~closed & ~ends,
                 long < 0.5, (long >= 0.5) & (long < 0.7), (long >= 0.7) & (long < 0.85), long >= 0.85, (tail >= 0.6) & (long >= 0.7),
-                closed & ends & more, closed & ends & ~more, (tail < 0.4) & (head >= 0.5), (tail < 0.4) & (head < 0.5), done > 0)),
+                closed & ends & more, closed & ends & ~more, (tail < 0.4) & (head > 0), (tail < 0.4) & (head == 0), done > 0)),
         ]
         return np.stack(columns, axis=1).astype(float), counts.tolist(), [len(t) for t in read.texts], read.lettered, facts[:, 11]
 
@@ -226,13 +236,16 @@ class Judge:
                 now[:live] = back[k - 1][np.arange(live), now[:live]]
         return out
 
-    def judge(self, pairs: list[tuple[str | None, str | None, str | None]]) -> list[str | None]:
-        """The first defect that holds of each (prompt, reply, target language), or None, by what the tags cover of the reply."""
+    def judge(self, pairs: list[tuple[str | None, str | None, str | None]], each: list[Table] | None = None) -> list[str | None]:
+        """The first defect that holds of each (prompt, reply, target language), or None, by what the tags cover of the reply.
+
+        `each` holds every pair's table, if they don't share one.
+        """
         out: list[str | None] = ["empty" if not r or not COUNTS.search(r) else None for _, r, _ in pairs]
         todo = [i for i, x in enumerate(out) if x is None]
         if not todo:
             return out
-        x, counts, sizes, lettered, asked = self.features([pairs[i] for i in todo])
+        x, counts, sizes, lettered, asked = self.features([pairs[i] for i in todo], [each[i] for i in todo] if each else None)
         tags = self.tags(x, counts)
         row = np.repeat(np.arange(len(todo)), counts)
         size, letters = np.array(sizes, float), np.array(lettered, float)
@@ -306,7 +319,11 @@ class Judge:
             gold += [ANSWER, UNFINISHED]
         if not pairs:
             return self
+        whole = self.table
+        if isinstance(whole, Parts):
+            self.table = whole.of({h for p, _, _ in pairs for h in token_set(nfc(p))}, [*self.model.labels, ""])
         x, counts, *_ = self.features(pairs)
+        self.table = whole
         tags, at = np.zeros(len(x), int), 0
         for n, g in zip(counts, gold, strict=True):
             if g == UNFINISHED:
@@ -404,10 +421,20 @@ def is_sound(model: Model, refusals: Refusals, prompt: str, reply: str, target:
     return bool(row) and all(x in (-1, whole) for _, _, x, _ in row) and model.labels[whole] == target and not is_copy(prompt, reply) and not any(x > DECLINES for x in refusals.scores(texts))
 
 
+def _spoken(model: Model, texts: list[str | None]) -> list[str]:
+    """The language under which Judge.features looks up the words of each reply's prompt."""
+    read = Reading(model, [nfc(t or "") for t in texts])
+    return [model.labels[x] if (x := read.whole(k)) >= 0 else "" for k in range(len(texts))]
+
+
 def defects(rows: DataFrame, prompt: str, reply: str, target: str, keep: list[str], judge: Judge) -> DataFrame:
     """`keep` and `defect` of each row; defect is NULL for sound pairs. target holds base codes; NULL is never wrong. Rows need a prompt."""
     schema = T.StructType([rows.schema[k] for k in keep]).add("defect", T.StringType())
     arrow = to_arrow_schema(schema)
+    links = []
+    if isinstance(judge.table, Parts):
+        rows = narrowed(rows.select(*dict.fromkeys([*keep, prompt, reply, target])), prompt, reply, judge.model, judge.table, _spoken)
+        judge, links = judge.apart(), ["link_s", "link_t", "link_r"]
     shared = rows.sparkSession.sparkContext.broadcast(judge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +443,7 @@ def defects(rows: DataFrame, prompt: str, reply: str, target: str, keep: list[st
             for at in range(0, big.num_rows, 2_000):
                 b = big.slice(at, 2_000)
                 n = len(keep)
-                found = own.judge(list(zip(*(b.column(n + i).to_pylist() for i in range(3)), strict=True)))
+                found = own.judge(list(zip(*(b.column(n + i).to_pylist() for i in range(3)), strict=True)), list(tables(b, n + 3)) if links else None)
                 yield pa.RecordBatch.from_arrays([b.column(i).cast(arrow.field(i).type) for i in range(n)] + [pa.array(found, pa.string())], schema=arrow)
 
-    return rows.select(*keep, prompt, reply, target).mapInArrow(run, schema)
+    return rows.select(*keep, prompt, reply, target, *links).mapInArrow(run, schema)

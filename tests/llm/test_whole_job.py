@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from parlance.llm import align, defects, langid
+from parlance.llm import align, defects, langid, refusals
 
 
 def test_language_of_the_whole_text(spark):
@@ -76,3 +76,27 @@ def test_no_translation_is_dropped_from_a_large_table(spark, monkeypatch):
 def test_every_sentence_that_holds_a_part_is_tried():
     # four sentences cover the last one of the source, and only the one that covers it least has room for it
     assert align._likely(np.array([0.7, 0.64, 1.0, 0.9, 0.9, 0.65, 0.2])) == [2, 3, 4, 0, 5]
+
+
+def test_any_sentence_of_the_prompt_may_be_the_one_rendered():
+    model = langid.fit([("the house is red and the door is open", "en"), ("la maison est rouge et la porte est ouverte", "fr")] * 3)
+    words = {"house": "maison", "red": "rouge", "door": "porte", "open": "ouverte"}
+    hashes = [np.array([align.token_hash(w) for w in own], np.uint64) for own in (words, words.values())]
+    judge = defects.Judge(model, refusals.Refusals(["The house is red."]), align.Table(align.source_ids(hashes[0], "fr"), hashes[1], np.ones(4)))
+    prompt = "Seven grey ducks swim.\nEight brown foxes run.\nhouse red door open.\nNine white owls wait."
+    x = judge.features([(prompt, "maison rouge porte ouverte", "fr")])[0]
+    assert x[-1, 28] == 1 and x[-1, 29] == 0
+
+
+def test_tables_in_parts_judge_and_align_alike(spark, monkeypatch):
+    model = langid.fit([("the house is red and the door is open", "en"), ("la maison est rouge et la porte est ouverte", "fr")] * 3)
+    declines = refusals.Refusals(["The house is red."])
+    rows = spark.createDataFrame([(k, f"The house is red {k}.\nThe door {k} is open.", f"La maison est rouge {k}.\nLa porte {k} est ouverte.", "fr") for k in range(40)], "id int, a string, b string, lang string")
+    whole = align.lexicon(rows, "a", "b", model)
+    monkeypatch.setattr(align, "WORDS", 0.2)
+    parts = align.lexicon(rows, "a", "b", model)
+    assert len(whole.t) and isinstance(parts, align.Parts) and len(parts.frames) > 1
+    ends = spark.createDataFrame([(k, f"The house is red {k}.\nThe door {k} is open.", (f"La maison est rouge {k}.\nLa porte {k} est ouverte.", f"La maison est rouge {k}.\nLa", None)[k % 3], "fr") for k in range(9)], "id int, a string, b string, lang string")
+    sound = [(r["a"], r["b"], r["lang"]) for r in rows.collect()]
+    got = [[sorted(tuple(r) for r in align.aligned(ends, "id", "a", "b", model, t, declines).collect()), sorted(tuple(r) for r in defects.defects(ends, "a", "b", "lang", ["id"], defects.Judge(model, declines, t).train(sound)).collect())] for t in (whole, parts)]
+    assert got[0] == got[1] and len(got[0][0]) >= 9 and len(got[0][1]) == 9
