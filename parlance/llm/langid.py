@@ -27,6 +27,8 @@ SAMPLES = 20_000
 N = 5
 #: Han, kana, then words of all other scripts.
 WORD = re.compile(r"[一-鿿々]+|[぀-ヿ]+|[가-힣]+|[^\W\d_々぀-ヿ一-鿿가-힣]+")
+#: The same for ASCII in lower case.
+_ASCII = re.compile(r"[a-z]+")
 #: Remembered words, checked between batches.
 CACHE = 400_000
 #: A sentence whose best language leads by less than this (in nats) says nothing of its own.
@@ -119,7 +121,7 @@ class Model:
 
 def words_of(text: str) -> list[str]:
     """Words in lower case; runs of Han, kana and Hangul come as one each."""
-    return WORD.findall(text.lower())
+    return (_ASCII if text.isascii() else WORD).findall(text.lower())
 
 
 def fit(samples: Iterable[tuple[str | None, str | None]], most: int = SAMPLES) -> Model:

@@ -2,6 +2,7 @@
 
 import inspect
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -100,3 +101,21 @@ def test_tables_in_parts_judge_and_align_alike(spark, monkeypatch):
     sound = [(r["a"], r["b"], r["lang"]) for r in rows.collect()]
     got = [[sorted(tuple(r) for r in align.aligned(ends, "id", "a", "b", model, t, declines).collect()), sorted(tuple(r) for r in defects.defects(ends, "a", "b", "lang", ["id"], defects.Judge(model, declines, t).train(sound)).collect())] for t in (whole, parts)]
     assert got[0] == got[1] and len(got[0][0]) >= 9 and len(got[0][1]) == 9
+
+
+def test_counts_of_a_part_are_whole_in_little_memory():
+    rng = np.random.default_rng(5)
+    s, t = rng.integers(0, 40, 30_000).astype(np.uint64), rng.integers(100, 130, 30_000).astype(np.uint64)
+    held = ([s[:9_000], s[9_000:]], [t[:9_000], t[9_000:]], [np.ones(9_000), np.ones(21_000)])
+    found = align._named(held).to_pylist()
+    pairs = {(r["s"], r["t"]): r["n"] for r in found if r["t"] is not None}
+    assert held == ([], [], []) and len(pairs) == 40 * 30 and all(n == ((s == a) & (t == b)).sum() for (a, b), n in pairs.items())
+    assert {r["s"]: r["n"] for r in found if r["t"] is None} == {a: (s == a).sum() for a in range(40)}
+    many = 2_000_000
+    held = tuple([rng.integers(0, k, many).astype(np.uint64)] for k in (2_000, 200)) + ([np.ones(many)],)
+    tracemalloc.start()
+    align._named(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the columns, their keys, an order and a copy in that order; it was more than 70 bytes a cell
+    assert peak < 60 * many, peak / many
