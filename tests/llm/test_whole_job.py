@@ -117,5 +117,5 @@ def test_counts_of_a_part_are_whole_in_little_memory():
     align._named(held)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    # the columns, their keys, an order and a copy in that order; it was more than 70 bytes a cell
+    # the columns, their keys, an order and a copy in that order
     assert peak < 60 * many, peak / many
