@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import random
 import re
-import unicodedata
 from collections.abc import Iterator
 from copy import copy
 
@@ -35,8 +34,9 @@ ASKS = 1.0
 #: Weight of the Gaussian prior on the field's parameters.
 PRIOR = 0.05
 _MARKS = re.compile(r"[\W_]+")
-_END = re.compile(r"[.!?。！？]['\"”’»)\]*_`]*\s*\Z")
-_DANGLING = re.compile(r"(?:\.\.\.|…|[,;:\[({、，；：-])\s*\Z")
+_ASCII_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
+_STOPS, _CLOSERS = (".", "!", "?", "。", "！", "？"), "'\"”’»)]*_`"
+_DANGLING = ("...", "…", *",;:[({、，；：-")
 FEATURES = 31
 #: Letters and digits below which a last sentence without an end is a fragment that needs no rendering.
 FRAGMENT = 12
@@ -44,7 +44,19 @@ FRAGMENT = 12
 
 def folded(text: str) -> str:
     """Letters and digits without case."""
-    return _MARKS.sub("", unicodedata.normalize("NFC", text).casefold())
+    if text.isascii():
+        return text.lower().encode().translate(None, _ASCII_MARKS).decode()
+    return _MARKS.sub("", nfc(text).casefold())
+
+
+def closes(text: str) -> bool:
+    """It ends with a stop, perhaps in quotes or brackets."""
+    return text.rstrip().rstrip(_CLOSERS).endswith(_STOPS)
+
+
+def dangles(text: str) -> bool:
+    """It ends with what something should follow."""
+    return text.rstrip().endswith(_DANGLING)
 
 
 def size(text: str) -> int:
@@ -63,17 +75,20 @@ class Rendering:
 
     def __init__(self, reply: list[str], lang: str, table: Table):
         self.reply, self.lang, self.table = reply, lang, table
-        self.tokens: dict[int, set[int]] = {}
+        self.tokens: dict[int, dict[int, float]] = {}
 
-    def _tokens(self, j: int) -> set[int]:
+    def _tokens(self, j: int) -> dict[int, float]:
         if (own := self.tokens.get(j)) is None:
-            own = self.tokens[j] = token_set(self.reply[j])
+            own = self.tokens[j] = lexical_ids(self.reply[j])
         return own
 
     def share(self, sentence: str, enough: float) -> float:
         """Share of the tokens that the best sentence of the reply, or two neighbours together, render; any value from
         `enough` on is as good as the best."""
-        own = lexical_ids(sentence)
+        return self.share_ids(lexical_ids(sentence), enough)
+
+    def share_ids(self, own: dict[int, float], enough: float) -> float:
+        """share of a sentence given by its tokens."""
         whole = sum(own.values())
         if not own or not self.reply:
             return 0.0
@@ -136,20 +151,31 @@ class Judge:
         echo = np.zeros(len(read.texts), bool)
         langs = np.array(read.labels)
         asking: list[tuple[int, list[str]]] = []
+        prompts: list[tuple[list[tuple[int, int]], bool, dict[int, float]]] = []
+        sought: dict[int, set[int]] = {}
+        for k, (prompt, _, _) in enumerate(pairs):
+            asked = _spans(prompt)
+            closed = closes(prompt)
+            if len(asked) > 1 and not closed and len(folded(prompt[asked[-1][0] :])) < FRAGMENT:
+                asked, closed = asked[:-1], True
+            final = lexical_ids(prompt[asked[-1][0] : asked[-1][1]]) if asked else {}
+            prompts.append((asked, closed, final))
+            sought.setdefault(read.whole(k), set()).update(final)
+        if not each and self.table is not None:
+            # look all of them up at once
+            for whole, hashes in sought.items():
+                self.table.rows(list(hashes), labels[whole] if whole >= 0 else "")
         for k, (prompt, reply, target) in enumerate(pairs):
             whole = read.whole(k)
             first, last = read.starts[k], read.starts[k + 1]
             langs[first:last][langs[first:last] < 0] = whole
             texts = read.texts[first:last]
-            asked = _spans(prompt)
-            closed = bool(_END.search(prompt))
-            if len(asked) > 1 and not closed and len(folded(prompt[asked[-1][0] :])) < FRAGMENT:
-                asked, closed = asked[:-1], True
-            ends = bool(_END.search(reply)) and not _DANGLING.search(reply)
+            asked, closed, final = prompts[k]
+            ends = closes(reply) and not dangles(reply)
             tail, head = 1.0, 0.0
             if asked and texts:
                 seen = Rendering(texts, labels[whole] if whole >= 0 else "", each[k] if each else self.table)
-                tail = seen.share(prompt[asked[-1][0] : asked[-1][1]], 0.6)
+                tail = seen.share_ids(final, 0.6)
                 if len(asked) > 1 and not closed and ends:
                     # the prompt itself breaks off, the reply doesn't: the last whole sentence will do
                     tail = max(tail, seen.share(prompt[asked[-2][0] : asked[-2][1]], 0.6))
@@ -157,7 +183,7 @@ class Judge:
             long = size(reply.rstrip()) / max(1, size(prompt[: asked[-1][1]] if asked else "")) / (self.stretch[whole] if whole >= 0 else 1.0)
             known = number.get(target, -1)
             done = tail >= 0.6 and (ends or not closed and long >= 0.75) or ends and len(texts) >= len(asked)
-            facts[k] = (known, closed, ends, bool(_DANGLING.search(reply)) and not _DANGLING.search(prompt), tail, head, long, len(asked), done, 0, 0, sum(b - a for a, b in asked))
+            facts[k] = (known, closed, ends, dangles(reply) and not dangles(prompt), tail, head, long, len(asked), done, 0, 0, sum(b - a for a, b in asked))
             own = folded(prompt)
             if own and LETTER.search(prompt):
                 words = read.words[first:last]
@@ -414,7 +440,7 @@ def _fit(judge: Judge, x: np.ndarray, counts: list[int], tags: np.ndarray, round
 
 def is_sound(model: Model, refusals: Refusals, prompt: str, reply: str, target: str | None) -> bool:
     """Fit for training: both end, the reply is all in the target language, declines nothing and isn't the prompt."""
-    if not prompt or not reply or target not in model.labels or not _END.search(prompt) or not _END.search(reply) or _DANGLING.search(reply):
+    if not prompt or not reply or target not in model.labels or not closes(prompt) or not closes(reply) or dangles(reply):
         return False
     whole, row = sentence_languages(model, [nfc(reply)])[0]
     texts = [reply[a:b] for a, b, _, _ in row]

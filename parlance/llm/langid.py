@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parlance.llm.sentences import COUNTS, LETTER, pieces, unaccented
+from parlance.llm.sentences import ALPHABET, ASTRAL, COUNTS, LETTER, pieces, unaccented
 
 #: Most labelled rows that a model is fitted on.
 SAMPLES = 20_000
@@ -27,10 +27,14 @@ SAMPLES = 20_000
 N = 5
 #: Han, kana, then words of all other scripts.
 WORD = re.compile(r"[一-鿿々]+|[぀-ヿ]+|[가-힣]+|[^\W\d_々぀-ヿ一-鿿가-힣]+")
+#: The same for texts without characters beyond the basic plane, words of letters first.
+_BASIC = re.compile(f"[{ALPHABET}]+|[一-鿿々]+|[぀-ヿ]+|[가-힣]+")
 #: The same for ASCII in lower case.
 _ASCII = re.compile(r"[a-z]+")
 #: Remembered words, checked between batches.
 CACHE = 400_000
+#: Words whose scores are held at once.
+HELD = 100_000
 #: A sentence whose best language leads by less than this (in nats) says nothing of its own.
 LEAD = 0.8
 
@@ -112,16 +116,22 @@ class Model:
             flat.extend(ids)
             ends.append(len(flat))
         out = np.zeros((len(texts), len(self.labels)))
-        if not flat:
-            return out
-        run = np.vstack([np.zeros(len(self.labels)), np.cumsum(self.rows[np.asarray(flat)], axis=0)])
-        ends = np.asarray(ends)
-        return run[ends] - run[np.concatenate([[0], ends[:-1]])]
+        flat, ends = np.asarray(flat, np.int64), np.asarray(ends, np.int64)
+        some = np.flatnonzero(np.diff(ends, prepend=0))
+        ends = ends[some]
+        starts = np.append(0, ends[:-1])
+        a = 0
+        while a < len(some):
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + HELD, side="right")))
+            out[some[a:b]] = np.add.reduceat(self.rows[flat[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0)
+            a = b
+        return out
 
 
 def words_of(text: str) -> list[str]:
     """Words in lower case; runs of Han, kana and Hangul come as one each."""
-    return (_ASCII if text.isascii() else WORD).findall(text.lower())
+    text = text.lower()
+    return (_ASCII if text.isascii() else WORD if ASTRAL.search(text) else _BASIC).findall(text)
 
 
 def fit(samples: Iterable[tuple[str | None, str | None]], most: int = SAMPLES) -> Model:

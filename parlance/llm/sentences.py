@@ -12,8 +12,29 @@ from pyspark.sql import functions as F
 END = re.compile(r"[\n.!?。！？](?:(?<=[\n。！？])|(?=\s|\Z))")
 COUNTS = re.compile(r"[^\W_]")
 LETTER = re.compile(r"[^\W\d_]")
+#: A character beyond the basic plane.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 #: For Java's regular expressions: a letter or digit.
 WORDY = "[\\p{L}\\p{N}]"
+#: Code points up to which what stands between two spaces is remembered.
+SHORT = 24
+
+
+def _alphabet() -> str:
+    """Ranges of the letters of the basic plane but for Han, kana and Hangul, for a class that is one look-up a character."""
+    apart = re.compile("[々぀-ヿ一-鿿가-힣]")
+    out, first = [], None
+    for k in range(0x10001):
+        own = k < 0x10000 and (c := chr(k)).isalnum() and not c.isdecimal() and not apart.match(c)
+        if own and first is None:
+            first = k
+        elif not own and first is not None:
+            out.append(f"{chr(first)}-{chr(k - 1)}")
+            first = None
+    return "".join(out)
+
+
+ALPHABET = _alphabet()
 
 
 def pieces(text: str) -> list[tuple[int, int]]:

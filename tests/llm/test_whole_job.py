@@ -2,7 +2,9 @@
 
 import inspect
 import random
+import re
 import tracemalloc
+import unicodedata
 
 import numpy as np
 
@@ -119,3 +121,61 @@ def test_counts_of_a_part_are_whole_in_little_memory():
     tracemalloc.stop()
     # the columns, their keys, an order and a copy in that order
     assert peak < 60 * many, peak / many
+
+
+def test_places_are_counted_in_less_memory_than_ids():
+    rng = np.random.default_rng(6)
+    many = 1_000_000
+    # the same words stand in the names of two batches
+    names = ([np.arange(500, dtype=np.uint64), np.arange(500, dtype=np.uint64)], [np.arange(40, dtype=np.uint64) + 7, np.arange(60, dtype=np.uint64) + 7])
+    s, t = rng.integers(0, 1_000, many).astype(np.uint32), rng.integers(0, 100, many).astype(np.uint32)
+    ids = [np.concatenate(own)[x] for own, x in zip(names, (s, t), strict=True)]
+    held = ([s], [t], [np.ones(many)])
+    del s, t
+    tracemalloc.start()
+    found = align._named(held, names)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * many, peak / many
+    assert names == ([], []) and found.sort_by([("s", "ascending"), ("t", "ascending")]).to_pylist() == align._named(tuple([x] for x in (*ids, np.ones(many)))).sort_by([("s", "ascending"), ("t", "ascending")]).to_pylist()
+
+
+def test_candidates_do_not_depend_on_what_is_held(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = spark.createDataFrame([(rng.sample(range(60), 6), rng.sample(range(200, 260), 5), 2) for _ in range(400)], "s array<bigint>, t array<bigint>, n bigint").coalesce(1)
+    count = lambda: {(r["s"], r["t"]): r["n"] for r in align._candidates(pairs).collect()}
+    whole = count()
+    table = align.train(pairs)
+    # both are passed in the middle of a batch
+    monkeypatch.setattr(align, "HELD", 500)
+    monkeypatch.setattr(align._cells, "__defaults__", (100,))
+    assert count() == whole and len(whole) > 400
+    again = align.train(pairs)
+    assert again.s.tolist() == table.s.tolist() and again.t.tolist() == table.t.tolist() and np.allclose(again.p, table.p, atol=1e-5)
+
+
+def test_words_of_many_texts_are_scored_in_parts(monkeypatch):
+    model = langid.fit([(" ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(26)), f"l{k}") for k in range(12)])
+    texts = [[f"w{chr(97 + k % 12)}{chr(97 + j % 26)}" for j in range(k % 90)] for k in range(6_000)]
+    model.scores_words(texts[:100])
+    tracemalloc.start()
+    found = model.scores_words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words = sum(map(len, texts))
+    assert peak < 150 * words, peak / words
+    monkeypatch.setattr(langid, "HELD", 7)
+    assert np.array_equal(found, model.scores_words(texts)) and not found[0].any()
+    assert all(np.allclose(found[k], sum(model.words[w] for w in texts[k])) for k in (1, 89, 4_000))
+
+
+def test_quick_readings_of_texts_are_those_of_the_patterns():
+    rng = random.Random(7)
+    signs = ["a", "É", "ß", "İ", "Σ", "σ", "\u0301", "々", "漢", "カ", "・", "한", "ё", "ا", "²", "Ⅷ", "٣", "7", "12", ",345", "1\u202f000", "_", "-", ".", "。", "!", "…", "...", ":", "»", "”", "(", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "𝒳", "𠀀", "😀", "Bank", "the"]
+    end, dangling = re.compile(r"[.!?。！？]['\"”’»)\]*_`]*\s*\Z"), re.compile(r"(?:\.\.\.|…|[,;:\[({、，；：-])\s*\Z")
+    for _ in range(20_000):
+        t = "".join(rng.choices(signs, k=rng.randint(0, 9)))
+        assert defects.closes(t) == bool(end.search(t)) and defects.dangles(t) == bool(dangling.search(t))
+        assert defects.folded(t) == re.sub(r"[\W_]+", "", unicodedata.normalize("NFC", t).casefold())
+        assert langid.words_of(t) == langid.WORD.findall(t.lower())
+        assert list(align.lexical_ids(t).items()) == [(align.token_hash(k), w) for k, w in align.lexical(t).items()]
